@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, urls
+from . import exact, mixing, quality, simhash, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +29,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.resolve(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints of 4-word shingles differ in at most 4 bits."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as segments of directly addressable codes and read back."""
+    return tokens.round_trip(_documents(spark, sf_dir))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all URLs of pages, the model trained on those that the rules decide."""
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mix_sources, op5_exact_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op5_exact_dedup, op6_token_files, op10_url_filter)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
