@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, simhash, tokens, urls
+from . import exact, mixing, pieces, pii, quality, simhash, suffixes, tokens, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +39,28 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by the model's rule and by the streaming Viterbi search, and whether both decode to the text."""
+    return pieces.encoded(_documents(spark, sf_dir)).drop("ids", "viterbi_ids")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base rules, and what patterns learnt from all documents add."""
+    return pii.find(_documents(spark, sf_dir))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that passages of 50 bytes share with a document of a smaller id."""
+    return suffixes.repeated(_documents(spark, sf_dir)).drop("removed")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all URLs of pages, the model trained on those that the rules decide."""
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op5_exact_dedup, op6_token_files, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op5_exact_dedup, op6_token_files, op7_sentencepiece, op8_personal_data, op9_repeated_passages, op10_url_filter)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
