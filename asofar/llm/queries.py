@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, pieces, pii, quality, simhash, suffixes, tokens, urls
+from . import exact, mixing, pieces, pii, quality, simhash, suffixes, tokens, urls, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir)).select(F.col("__key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def _rots(digest: bytes) -> bool:
+    """One record in 256, by digest."""
+    return digest[0] == 0
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC in two replicas, the second with injected faults, and the records that the audit finds damaged."""
+    return warc.fixity(spark.read.parquet(f"{sf_dir}/pages.parquet"), _rots)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents, through the hash index of their distinct digests."""
     return exact.resolve(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -59,8 +69,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's result."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op5_exact_dedup, op6_token_files, op7_sentencepiece, op8_personal_data, op9_repeated_passages, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op4_warc_fixity, op5_exact_dedup, op6_token_files, op7_sentencepiece, op8_personal_data, op9_repeated_passages, op10_url_filter, pipeline)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -116,6 +133,18 @@ ordered AS (
 SELECT doc_id, size, source_size, target, CAST(passes * size + least(size, greatest(0, budget - before)) AS BIGINT) AS taken FROM ordered
 """
 
+_OP4 = r"""
+WITH records AS (
+  SELECT page_id, floor(page_id / 256)::BIGINT AS file,
+         'WARC/1.0' || n || 'WARC-Type: resource' || n || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') || n
+         || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'Content-Type: text/html' || n || 'Content-Length: '
+         || strlen(coalesce(html, '')) || n || n || coalesce(html, '') || n || n AS r
+  FROM pages, (SELECT chr(13) || chr(10) AS n))
+SELECT page_id, file, CAST(coalesce(sum(strlen(r)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
+       CAST(strlen(r) AS BIGINT) AS record_length, sha256(r) AS record_sha256, starts_with(sha256(r), '00') AS damaged
+FROM records
+"""
+
 _OP5 = r"""
 WITH base AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
@@ -125,4 +154,4 @@ FROM base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op3_mix_sources": _OP3, "op5_exact_dedup": _OP5}
+    return {"op1_quality_rules": _OP1, "op3_mix_sources": _OP3, "op4_warc_fixity": _OP4, "op5_exact_dedup": _OP5}
