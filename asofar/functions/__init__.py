@@ -1 +1 @@
-
+"""Scalar functions as pure Column builders; nothing here runs Python on rows."""

@@ -6,7 +6,8 @@ it are committed and dropped. So memory is bounded for any length of text. The b
 the one whose last piece is longest.
 
 A vocabulary says where the search always converges: if no piece has the word mark behind another character, every word's start is such a
-boundary. Words are then encoded one by one and remembered (CACHE_WORDS at most), each through the same search.
+boundary, and so is any place where no piece holds the two characters around it. What lies between is then encoded piece by piece
+and remembered (CACHE_WORDS at most); a stretch within WINDOW_CHARS needs no commits, a longer one streams.
 
 Viterbi search is the rule of unigram models. A model file of the BPE type defines its ids by merges, which no sum of scores
 reproduces; for such a file ``ids`` are the merges' (the library is asked word by word between the same boundaries), and the Viterbi
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ MARK = "▁"
 CACHE_WORDS = 1 << 18
 #: Longer words are encoded without being remembered.
 CACHE_CHARS = 64
+#: Longer stretches without a word boundary go through the committing search.
+WINDOW_CHARS = 256
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -60,9 +64,16 @@ class Pieces:
         self.longest = max(map(len, self.id), default=1)
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.word_starts = all(MARK not in p.lstrip(MARK) for p in self.id)
+        self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         with open(path, "rb") as f:
             self.unigram = _model_type(f.read()) == 1
 
+    def units(self, word: str) -> list[str]:
+        """The word cut wherever no piece holds the two characters around: every path runs through such a boundary."""
+        inside = self.inside
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
     def unknown_ids(self, char: str) -> list[int]:
         if not self.byte:
             return [self.model.unk_id()]
@@ -165,10 +176,28 @@ class StreamingViterbi:
 
 
 def viterbi(pieces: Pieces, text: str) -> list[int]:
-    """Ids of the highest-scored segmentation of a normalised text."""
-    search = StreamingViterbi(pieces)
-    out = [i for ids in search.feed(text) for i in ids]
-    return out + search.finish()
+    """Ids of the highest-scored segmentation of a normalised text. Texts within a window take the same search without commits."""
+    if len(text) > WINDOW_CHARS:
+        search = StreamingViterbi(pieces)
+        out = [i for ids in search.feed(text) for i in ids]
+        return out + search.finish()
+    score, longest, unknown = pieces.score.get, pieces.longest, pieces.unknown
+    best, back = [0.0], [0]
+    for n in range(1, len(text) + 1):
+        top, at = best[n - 1] + score(text[n - 1], unknown), n - 1
+        for start in range(n - 2, max(-1, n - longest - 1), -1):
+            s = score(text[start:n])
+            if s is not None and best[start] + s >= top:
+                top, at = best[start] + s, start
+        best.append(top)
+        back.append(at)
+    out, end = [], len(text)
+    while end:
+        start = back[end]
+        known = pieces.id.get(text[start:end])
+        out += [known] if known is not None else pieces.unknown_ids(text[start:end])[::-1]
+        end = start
+    return out[::-1]
 
 
 class Encoder:
@@ -177,27 +206,35 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        m = self.pieces.model
+        self.head = len(m.encode("\n"))
+        byte = {i: bytes([b]) for b, i in self.pieces.byte.items()}
+        self.spelling = [byte.get(i, b"" if m.is_control(i) else m.id_to_piece(i).replace(MARK, " ").encode()) for i in range(m.vocab_size())]
+        self.prefix = m.normalize("a").startswith(MARK)
 
     def _word(self, word: str) -> tuple[bytes, bytes]:
-        got = self.known.get(word)
-        if got is None:
-            v = viterbi(self.pieces, word)
-            own = v if self.pieces.unigram else self._merged(word)
-            got = np.array(own, "<u4").tobytes(), np.array(v, "<u4").tobytes()
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = got
+        units = self.pieces.units(word)
+        parts = [self.parts[u] if u in self.parts else self._part(u) for u in units]
+        got = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+        if len(word) <= CACHE_CHARS and len(self.known) < CACHE_WORDS:
+            self.known[word] = got
+        return got
+
+    def _part(self, unit: str) -> tuple[bytes, bytes]:
+        v = viterbi(self.pieces, unit)
+        own = v if self.pieces.unigram else self._merged(unit)
+        got = np.array(own, "<u4").tobytes(), np.array(v, "<u4").tobytes()
+        if len(unit) <= CACHE_CHARS and len(self.parts) < CACHE_WORDS:
+            self.parts[unit] = got
         return got
 
-    def _merged(self, word: str) -> list[int]:
-        """The merges' ids of a word; a dummy prefix that the model would add is left out by asking for the rest alone."""
+    def _merged(self, unit: str) -> list[int]:
+        """The merges' ids; a dummy prefix that the model would add is left out behind a character that no piece holds."""
         m = self.pieces.model
-        if word.startswith(MARK) and word.strip(MARK):
-            return m.encode(word[1:])
-        marker = m.encode("\n" + word.replace(MARK, " "))
-        head = m.encode("\n")
-        return marker[len(head) :]
+        if unit.startswith(MARK) and unit.strip(MARK):
+            return m.encode(unit[1:])
+        return m.encode("\n" + unit.replace(MARK, " "))[self.head :]
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Own ids and Viterbi ids of a text as little-endian 32-bit numbers."""
@@ -205,11 +242,20 @@ class Encoder:
             return b"", b""
         normal = self.pieces.model.normalize(text)
         words = _WORD.findall(normal) if self.pieces.word_starts else [normal]
-        got = list(map(self._word, words))
+        known, word = self.known, self._word
+        got = [known[w] if w in known else word(w) for w in words]
         return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
 
     def decode(self, ids: bytes) -> str:
-        return self.pieces.model.decode(np.frombuffer(ids, "<u4").tolist())
+        """Pieces and bytes put together, the mark as a blank, without the prefix that encoding adds."""
+        text = b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for a worker process, kept from task to task."""
+    return Encoder(path)
 
 
 def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,12 +266,12 @@ def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text:
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        coder = encoder(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            got = [encoder.encode(t) for t in texts]
+            got = [coder.encode(t) for t in texts]
             plain = [(t or "").replace(MARK, " ") for t in texts]
-            same = [encoder.decode(a) == t and (a == v or encoder.decode(v) == t) for (a, v), t in zip(got, plain, strict=True)]
+            same = [coder.decode(a) == t and (a == v or coder.decode(v) == t) for (a, v), t in zip(got, plain, strict=True)]
             own, other = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array([f(x) for x in ids], pa.int64()) for ids in (own, other) for f in (lambda x: len(x) // 4, zlib.crc32)], pa.array(same, pa.bool_()), pa.array(own, pa.binary()), pa.array(other, pa.binary())],
@@ -241,8 +287,8 @@ def decoded(df: DataFrame, model: str | None = None, key: str = "doc_id", ids: s
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        coder = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{ids}`").cast("binary").alias("i")).mapInArrow(run, "doc_id bigint, text string")

@@ -15,10 +15,13 @@ segment has one of its own.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ CHUNK_BITS = 8
 BLOCK = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
+SLICE_CHARS = 1 << 20
 _MAGIC = b"DAC1"
-_BLANKS = str.maketrans("\t\n\r", "   ")
 
 
 def default_vocabulary() -> str:
@@ -42,28 +45,78 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters for which the tokenizer's normaliser and word pattern are spelt out below; words with others are given to it whole.
+_PLAIN = re.compile("[\x21-\x7e\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017f]*")
+_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9]|[^a-z0-9ªµºß-öø-ɏ]+")
+
+
 class Encoder:
-    """Ids of texts; a tokenizer that drops white space may be asked word by word, so words are remembered, CACHE_WORDS at most."""
+    """Ids of texts by a tokenizer that drops white space and never joins what its word pattern separates.
+
+    Words, and the units that the pattern cuts them into, are remembered, CACHE_WORDS of each; what doesn't fit is encoded anew. Units
+    are asked for many at a time with a special token between them.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, got, strict=True)}
+        self.words: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {}
+        self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
+
+    def _ask(self, units: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        odd = [u for u in units if "<|" in u]
+        for u in odd:
+            out[u] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        units = [u for u in units if "<|" not in u] if odd else units
+        for at in range(0, len(units), 500):
+            some = units[at : at + 500]
+            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id) * 4
+            raw, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)]
+            out.update(zip(some, [raw[a:e] for a, e in zip(starts, ends, strict=True)], strict=True))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids. Of white space only blanks, tabs and line ends cut words; the tokenizer drops the rest itself."""
-        split = [(t or "").translate(_BLANKS).split(" ") for t in texts]
-        new = list({w for s in split for w in s if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list({w for s in split for w in s})
-        for at in range(0, len(new), 10_000):
-            self.known.update(self._fresh(new[at : at + 10_000]))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        """Little-endian 32-bit ids. Blanks, tabs and line ends cut words; the tokenizer drops other white space itself.
+
+        Texts are cut into words a few at a time, as words take far more memory than the texts.
+        """
+        out: list[bytes] = []
+        some: list[str] = []
+        held = 0
+        for t in texts:
+            some.append(t or "")
+            held += len(some[-1])
+            if held > SLICE_CHARS:
+                out += self._encode(some)
+                some, held = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known = self.words
+        new = [w for w in set().union(*split) if w not in known]
+        cut = {w: _UNITS.findall(w.lower()) if "<|" not in w and _PLAIN.fullmatch(w) else [w] for w in new}
+        fresh = self._ask([u for u in set().union(*cut.values()) if u not in self.units])
+        units = ChainMap(fresh, self.units) if fresh else self.units
+        if len(self.units) + len(fresh) <= CACHE_WORDS:
+            self.units.update(fresh)
+            units = self.units
+        found = {w: b"".join([units[u] for u in c]) for w, c in cut.items()}
+        if len(self.words) + len(found) <= CACHE_WORDS:
+            self.words.update(found)
+            return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        words = self.words
+        return [b"".join([words[w] if w in words else found[w] for w in s]) for s in split]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for a worker process, kept from task to task."""
+    return Encoder(path)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -157,11 +210,11 @@ def write(df: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text:
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        ids_of = encoder(vocabulary).encode
         for b in batches:
             keys = b.column(0)
             at = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-            got = encoder.encode(b.column(1).to_pylist())
+            got = ids_of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int32()), pa.array([x + end for x in got], pa.binary())], names=["k", "range", "ids"])
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(encode, "k bigint, range int, ids binary")

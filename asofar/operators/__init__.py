@@ -1 +1 @@
-
+"""Relational operators as functions of DataFrames."""

@@ -1 +1 @@
-
+"""Declarations (views, features, targets, schedules) and their compilation to DataFrame plans."""

@@ -1 +1 @@
-
+"""Tables by role, scans, and sinks."""

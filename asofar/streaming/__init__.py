@@ -1 +1 @@
-
+"""Tile maintenance by Structured Streaming."""
