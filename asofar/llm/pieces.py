@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The search reads code points one by one and keeps a window of backpointers no longer than the longest piece. After each point the
-surviving paths - those that end in the window - are followed back; as soon as all of them run through one boundary, the ids before
-it are committed and dropped. So memory is bounded for any length of text. The best path is that of the highest summed score; of equal ones
-the one whose last piece is longest.
+The search reads code points one by one; scores and characters are kept for a window as long as the longest piece, backpointers for what
+isn't committed. Surviving paths - those that end in the window - are followed back; when all of them run through one boundary, the ids
+before it are committed and dropped. They are followed when the open part has grown by a quarter, so the work stays linear in the
+text. Only a text whose paths never meet (one character, repeated, cut in several phases) keeps its backpointers, a few bytes each, to its
+end. The best path is that of the highest summed score; of equal ones the one whose last piece is longest.
 
 A vocabulary says where the search always converges: if no piece has the word mark behind another character, every word's start is such a
 boundary, and so is any place where no piece holds the two characters around it. What lies between is then encoded piece by piece
@@ -116,33 +117,39 @@ def _model_type(raw: bytes) -> int:
 
 
 class StreamingViterbi:
-    """Feed characters, take committed ids. The window never holds more than the longest piece's characters and open boundaries."""
+    """Feed characters, take committed ids. What is open: characters and backpointers since the last committed boundary."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.text = ""  # characters since the last committed boundary
-        self.best = [0.0]
+        self.open: list[str] = []
+        self.tail = ""  # the last characters, as many as the longest piece has
+        self.best = [0.0]  # scores of the last boundaries, likewise
         self.back = [0]
         self.widest = 0
+        self.due = pieces.longest
 
     def feed(self, chars: Iterable[str]) -> Iterator[list[int]]:
         p = self.p
-        score, longest, unknown = p.score, p.longest, p.unknown
+        score, longest, unknown = p.score.get, p.longest, p.unknown
         for ch in chars:
-            self.text += ch
-            n = len(self.text)
-            top, at = self.best[n - 1] + score.get(ch, unknown), n - 1
-            for size in range(2, min(longest, n) + 1):
-                s = score.get(self.text[n - size :])
-                if s is not None and self.best[n - size] + s >= top:
-                    top, at = self.best[n - size] + s, n - size
-            self.best.append(top)
+            self.open.append(ch)
+            self.tail = tail = (self.tail + ch)[-longest:]
+            n, best = len(self.open), self.best
+            top, at = best[-1] + score(ch, unknown), n - 1
+            for size in range(2, min(len(tail), n) + 1):
+                s = score(tail[-size:])
+                if s is not None and best[-size] + s >= top:
+                    top, at = best[-size] + s, n - size
+            best.append(top)
+            if len(best) > 2 * longest:
+                self.best = best[-longest:]
             self.back.append(at)
-            self.widest = max(self.widest, n)
-            if n >= 2:
+            if n >= self.due:
+                self.widest = max(self.widest, n)
                 cut = self._converged(n)
                 if cut:
                     yield self._commit(cut)
+                self.due = len(self.open) + max(longest, len(self.open) // 4)
 
     def _converged(self, n: int) -> int:
         """The last boundary that all paths run through which a later piece may still extend."""
@@ -157,7 +164,7 @@ class StreamingViterbi:
         out: list[int] = []
         while end:
             start = self.back[end]
-            piece = self.text[start:end]
+            piece = "".join(self.open[start:end])
             known = self.p.id.get(piece)
             out += [known] if known is not None else self.p.unknown_ids(piece)[::-1]
             end = start
@@ -165,14 +172,14 @@ class StreamingViterbi:
 
     def _commit(self, cut: int) -> list[int]:
         ids = self._ids(cut)
-        base = self.best[cut]
-        self.text = self.text[cut:]
-        self.best = [b - base for b in self.best[cut:]]
+        self.open = self.open[cut:]
+        kept = self.best[-len(self.open) - 1 :]
+        self.best = [b - kept[0] for b in kept]
         self.back = [0, *[max(0, b - cut) for b in self.back[cut + 1 :]]]
         return ids
 
     def finish(self) -> list[int]:
-        return self._commit(len(self.text))
+        return self._commit(len(self.open))
 
 
 def viterbi(pieces: Pieces, text: str) -> list[int]:

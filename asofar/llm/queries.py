@@ -84,8 +84,8 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 
 _OP1 = rf"""
 WITH base AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM base WHERE len(w) >= 3),
-counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM grams),
+grams AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, len(w) AS many, unnest(list_zip(w, w[2:], w[3:])) AS g FROM base WHERE len(w) >= 3),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE i <= many - 2),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM counted, (VALUES (0), (1), (2)) AS v(k) WHERE counted.n > 1 GROUP BY doc_id),
 metrics AS (
   SELECT b.doc_id, b.source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

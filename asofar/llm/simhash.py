@@ -180,8 +180,8 @@ def links(fps: DataFrame, distance: int = 4, words: int = 1, count: int | None =
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """__node, __root for each node of the edges __a, __b: the smallest node that it is connected to.
 
-    Each round hooks every node to its smallest neighbour, follows the pointers to the end of two jumps, rewrites the edges
-    to the parents and drops loops and repeats; edges shrink by a constant factor, and each round is a written table.
+    Each round hooks every node to its smallest neighbour, follows the pointers to their ends, rewrites the edges to the ends and
+    drops loops and repeats. Only nodes without a smaller neighbour remain, half of them at most; each round is a written table.
     """
     both = lambda e: e.select("__a", "__b").union(e.select(F.col("__b").alias("__a"), F.col("__a").alias("__b")))
     edges = materialize(edges.filter("__a <> __b").distinct(), "simhash-edges")
@@ -190,13 +190,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if edges.isEmpty():
             break
         parent = both(edges).groupBy(F.col("__a").alias("__node")).agg(F.min("__b").alias("__p")).select("__node", F.least("__node", "__p").alias("__root"))
-        for _ in range(2):
-            upper = parent.select(F.col("__node").alias("__n2"), F.col("__root").alias("__r2"))
-            parent = parent.join(upper, F.col("__root") == F.col("__n2"), "left").select("__node", F.coalesce("__r2", "__root").alias("__root"))
-        parent = materialize(parent, "simhash-parents")
+        settled = False
+        while not settled:
+            for _ in range(2):
+                upper = parent.select(F.col("__node").alias("__n2"), F.col("__root").alias("__r2"))
+                parent = parent.join(upper, F.col("__root") == F.col("__n2"), "left").select("__node", F.coalesce("__r2", "__root").alias("__root"), (F.col("__r2") != F.col("__root")).alias("__moved"))
+            parent = materialize(parent, "simhash-parents")
+            settled = parent.filter("__moved").isEmpty()
         upper = parent.select(F.col("__node").alias("__n2"), F.col("__root").alias("__r2"))
         if label is None:
-            label = parent
+            label = upper.select(F.col("__n2").alias("__node"), F.col("__r2").alias("__root"))
         else:
             label = materialize(label.join(upper, F.col("__root") == F.col("__n2"), "left").select("__node", F.coalesce("__r2", "__root").alias("__root")), "simhash-labels")
         a = edges.join(upper, F.col("__a") == F.col("__n2"), "left").select(F.coalesce("__r2", "__a").alias("__a"), "__b")
