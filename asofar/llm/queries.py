@@ -83,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _OP1 = rf"""
-WITH base AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+WITH base AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 grams AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, len(w) AS many, unnest(list_zip(w, w[2:], w[3:])) AS g FROM base WHERE len(w) >= 3),
 counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE i <= many - 2),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM counted, (VALUES (0), (1), (2)) AS v(k) WHERE counted.n > 1 GROUP BY doc_id),
@@ -94,11 +94,11 @@ metrics AS (
               - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM base b LEFT JOIN covered c USING (doc_id)),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM metrics),
+judged AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM metrics),
 hosts AS (SELECT source, count(*) AS d, sum(base_failed::INT) AS f FROM judged GROUP BY source),
 total AS (SELECT sum(f) / sum(d) AS m, sum(d * (f / d) * (f / d)) / sum(d) - (sum(f) / sum(d)) * (sum(f) / sum(d)) AS v FROM hosts),
 prior AS (SELECT m, CASE WHEN v <= 1e-12 THEN 1e6 ELSE greatest(1.0, least(1e6, m * (1 - m) / v - 1)) END AS s FROM total),
-rejected AS (SELECT source FROM hosts, prior WHERE (f + m * s) / (d + s) >= 0.9)
+rejected AS MATERIALIZED (SELECT source FROM hosts, prior WHERE (f + m * s) / (d + s) >= 0.9)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM rejected r WHERE r.source IS NOT DISTINCT FROM j.source) AS kept,
        EXISTS (SELECT 1 FROM rejected r WHERE r.source IS NOT DISTINCT FROM j.source) AS host_rejected
