@@ -66,15 +66,15 @@ def _names(words: int) -> list[str]:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """__key and the fingerprint's 64-bit words as signed longs, __f0 and on, for each row."""
+    """__key, __hash (of the text) and the fingerprint's 64-bit words as signed longs, __f0 and on, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(shingle_hashes(t, shingle), words) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(b.num_rows, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(words)]], names=["__key", *_names(words)])
+            fp = np.array([fingerprint(shingle_hashes(t, shingle), words) for t in b.column(2).to_pylist()], dtype=np.uint64).reshape(b.num_rows, words)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(words)]], names=["__key", "__hash", *_names(words)])
 
-    schema = ", ".join(["__key bigint", *[f"{n} bigint" for n in _names(words)]])
-    return df.select(F.col(f"`{key}`").cast("bigint").alias("__key"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join(["__key bigint", "__hash bigint", *[f"{n} bigint" for n in _names(words)]])
+    return df.select(F.col(f"`{key}`").cast("bigint").alias("__key"), F.xxhash64(f"`{text}`").alias("__hash"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -83,14 +83,12 @@ def segments(count: int) -> list[tuple[int, int]]:
 
 
 def variants(fps: DataFrame, words: int, count: int) -> DataFrame:
-    """__bucket beside __id and the fingerprint: a row for each bit; the bucket is the bit's segment without the bit."""
+    """__bucket beside __id and the fingerprint: a row for each bit; the bucket is the bit's segment without the bit, and the bit's place."""
     entries = []
     for k, name in enumerate(_names(words)):
         for first, n in segments(count):
-            whole = ((1 << n) - 1) << first
-            for i in range(n):
-                m = whole & ~(1 << (first + i))
-                entries.append(F.xxhash64(F.col(name).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")), F.lit(k * WORD + first + i)))
+            part = F.shiftrightunsigned(F.col(name), first).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+            entries += [part.bitwiseAND(F.lit((1 << n) - 1 - (1 << i)).cast("bigint")) * (WORD * words) + (k * WORD + first + i) for i in range(n)]
     return fps.select(F.explode(F.array(*entries)).alias("__bucket"), "__id", *_names(words))
 
 
@@ -210,30 +208,40 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return label if label is not None else edges.select(F.col("__a").alias("__node"), F.col("__b").alias("__root"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, words: int = 1, count: int | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits a word), component_id (smallest id reachable) and component_size for each row of df."""
+def _grouped(df: DataFrame, key: str, text: str, shingle: int, distance: int, words: int, count: int | None) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of df (__key, __hash, fingerprint), and one for each distinct fingerprint: __root of its component and __first row."""
     names = _names(words)
     base = materialize(fingerprints(df, key, text, shingle, words), "simhash-fingerprints")
-    fps = base.groupBy(*names).agg(F.min("__key").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.coalesce("__key", F.lit(0)).alias("id"), F.col("__hash").alias("hash")))
+    fps = base.groupBy(*names).agg(F.min("__key").alias("__least"), first.alias("__first"), F.count(F.lit(1)).alias("__n"))
     fps = materialize(fps.withColumn("__id", F.monotonically_increasing_id()), "simhash-distinct")
     found = components(links(fps.select("__id", *names), distance, words, count))
-    joined = fps.join(found.withColumnRenamed("__node", "__id"), "__id", "left").withColumn("__root", F.coalesce("__root", "__id"))
+    return base, fps.join(found.withColumnRenamed("__node", "__id"), "__id", "left").withColumn("__root", F.coalesce("__root", "__id"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, words: int = 1, count: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits a word), component_id (smallest id reachable) and component_size for each row of df."""
+    names = _names(words)
+    base, joined = _grouped(df, key, text, shingle, distance, words, count)
     ids = joined.groupBy("__root").agg(F.min("__least").alias("component_id"), F.sum("__n").alias("component_size"))
     labelled = materialize(joined.select(*names, "__root").join(ids, "__root").select(*names, "component_id", "component_size"), "simhash-components")
     out = base.join(labelled, names)
     return out.select(F.col("__key").alias("doc_id"), F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in names]).alias("fingerprint"), "component_id", "component_size")
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 24, words: int = 2, count: int | None = 3) -> DataFrame:
-    """The rows of df whose id is their component's; of rows that share that id one stays.
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 38, words: int = 3, count: int | None = 4) -> DataFrame:
+    """One row of df for each component, that of the smallest id (null ids last).
 
-    The defaults take five words and 128 bits of which four fifths agree. At that distance no cut into segments of one differing bit is
-    selective, so three wide segments a word are searched: a pair is found with a probability of .99 at a Jaccard similarity of
-    .95, .92 at .9 and .6 at .8, and more surely through other copies.
+    The defaults take five words and 192 bits of which four fifths agree. At that distance no cut into segments of one differing bit is
+    selective, so four segments of 16 bits a word are searched: of a pair with a Jaccard similarity of .8 some segment differs by one
+    bit at most with a probability of .98, and the pair lies within the distance with one of .96; at .85 both are above .99.
     """
     columns = {c: f"__col{i}" for i, c in enumerate(df.columns)}
     safe = df.select(*[df[f"`{c}`"].alias(a) for c, a in columns.items()])
-    groups = near_duplicates(safe, columns[key], columns[text], shingle, distance, words, count)
-    drop = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = safe.join(drop, F.col(columns[key]).cast("bigint").eqNullSafe(F.col("__id")), "left_anti").dropDuplicates([columns[key]])
+    _, joined = _grouped(safe, columns[key], columns[text], shingle, distance, words, count)
+    chosen = materialize(joined.groupBy("__root").agg(F.min("__first").alias("f")).select("f.none", "f.id", "f.hash"), "simhash-chosen")
+    k = F.col(columns[key]).cast("bigint")
+    rows = safe.withColumns({"none": k.isNull(), "id": F.coalesce(k, F.lit(0)), "hash": F.xxhash64(columns[text])})
+    # the join's partitions serve for rows that share id and text, too
+    out = rows.join(chosen, ["none", "id", "hash"], "left_semi").dropDuplicates(["none", "id", "hash"])
     return out.select(*[F.col(a).alias(c) for c, a in columns.items()])
