@@ -15,6 +15,7 @@ segment has one of its own.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
@@ -25,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ BLOCK = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 CACHE_WORDS = 1 << 18
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 4 << 20
 _MAGIC = b"DAC1"
 
 
@@ -53,8 +55,9 @@ _UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9]|[^a-z0
 class Encoder:
     """Ids of texts by a tokenizer that drops white space and never joins what its word pattern separates.
 
-    Words, and the units that the pattern cuts them into, are remembered, CACHE_WORDS of each; what doesn't fit is encoded anew. Units
-    are asked for many at a time with a special token between them.
+    The distinct words of a few megabytes of text are looked up, and their ids gathered for all words at once. Words, and the units that
+    the pattern cuts them into, are remembered, CACHE_WORDS of each; what doesn't fit is encoded anew. Units are asked for many at a
+    time: the last token of a unit has the vocabulary's word end. Words that aren't spelt out here get a special token between them.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,54 +66,79 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {"": b""}
         self.units: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
 
     def _ask(self, units: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        odd = [u for u in units if "<|" in u]
-        for u in odd:
-            out[u] = np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        units = [u for u in units if "<|" not in u] if odd else units
-        for at in range(0, len(units), 500):
-            some = units[at : at + 500]
+        for at in range(0, len(units), 2000):
+            some = units[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(some):  # not one word each
+                out.update(self._ask_marked(some))
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            out.update(zip(some, [raw[a:e] for a, e in zip([0, *ends], ends, strict=False)], strict=True))
+        return out
+
+    def _ask_marked(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        odd = [w for w in words if "<|" in w]
+        for w in odd:
+            out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words = [w for w in words if "<|" not in w] if odd else words
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
             ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark_id) * 4
             raw, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)]
             out.update(zip(some, [raw[a:e] for a, e in zip(starts, ends, strict=True)], strict=True))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids. Blanks, tabs and line ends cut words; the tokenizer drops other white space itself.
+    def encode(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[memoryview, np.ndarray]]:
+        """For a few texts at a time: little-endian 32-bit ids of all, and the first byte of each text's ids and the end of the last's.
 
-        Texts are cut into words a few at a time, as words take far more memory than the texts.
+        ASCII white space cuts words; the tokenizer drops other white space itself.
         """
-        out: list[bytes] = []
-        some: list[str] = []
-        held = 0
-        for t in texts:
-            some.append(t or "")
-            held += len(some[-1])
-            if held > SLICE_CHARS:
-                out += self._encode(some)
-                some, held = [], 0
-        return out + self._encode(some)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.words
-        new = [w for w in set().union(*split) if w not in known]
-        cut = {w: _UNITS.findall(w.lower()) if "<|" not in w and _PLAIN.fullmatch(w) else [w] for w in new}
-        fresh = self._ask([u for u in set().union(*cut.values()) if u not in self.units])
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)] if len(texts) else []
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            parts = pc.ascii_split_whitespace(texts.slice(a, e - a))
+            words = parts.flatten().dictionary_encode()
+            at = words.indices.to_numpy()
+            gc.disable()  # many small lists and no cycles
+            try:
+                ids = self._ids(words.dictionary.to_pylist())
+            finally:
+                gc.enable()
+            many = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            first = np.cumsum(many) - many
+            pool, n = np.frombuffer(b"".join(ids), "<u4"), many[at]
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+            place = np.repeat(first[at] - ends[:-1], n)
+            place += np.arange(len(place))
+            yield memoryview(pool[place].tobytes()), 4 * ends[parts.offsets.to_numpy()]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.words.get, words))
+        new = [w for w, x in zip(words, out, strict=True) if x is None]
+        lone = {w: w.lower() for w in new if w.isascii() and w.isalpha()}
+        cut = {w: _UNITS.findall(w.lower()) for w in new if w not in lone and "<|" not in w and _PLAIN.fullmatch(w)}
+        fresh = self._ask([u for u in set(lone.values()).union(*cut.values()) if u not in self.units])
         units = ChainMap(fresh, self.units) if fresh else self.units
         if len(self.units) + len(fresh) <= CACHE_WORDS:
             self.units.update(fresh)
             units = self.units
-        found = {w: b"".join([units[u] for u in c]) for w, c in cut.items()}
+        found = {w: units[u] for w, u in lone.items()}
+        found |= {w: b"".join([units[u] for u in c]) for w, c in cut.items()}
+        if len(found) < len(new):
+            found |= self._ask_marked([w for w in new if w not in found])
         if len(self.words) + len(found) <= CACHE_WORDS:
             self.words.update(found)
-            return [b"".join(map(self.words.__getitem__, s)) for s in split]
-        words = self.words
-        return [b"".join([words[w] if w in words else found[w] for w in s]) for s in split]
+        return [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
 
 
 @cache
@@ -212,10 +240,13 @@ def write(df: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary).encode
         for b in batches:
-            keys = b.column(0)
-            at = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-            got = ids_of(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int32()), pa.array([x + end for x in got], pa.binary())], names=["k", "range", "ids"])
+            at = 0
+            for raw, bounds_of in ids_of(b.column(1)):
+                keys = b.column(0).slice(at, len(bounds_of) - 1)
+                at += len(keys)
+                part = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
+                ids = [raw[i:j].tobytes() + end for i, j in zip(bounds_of[:-1].tolist(), bounds_of[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=["k", "range", "ids"])
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(encode, "k bigint, range int, ids binary")
     ordered = rows.repartition(n, "range").sortWithinPartitions("range", F.col("k").asc_nulls_first(), "ids")
