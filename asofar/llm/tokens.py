@@ -36,8 +36,8 @@ CHUNK_BITS = 8
 BLOCK = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-CACHE_WORDS = 1 << 18
-SLICE_BYTES = 4 << 20
+CACHE_WORDS = 1 << 17
+SLICE_BYTES = 2 << 20
 _MAGIC = b"DAC1"
 
 
@@ -247,6 +247,7 @@ def write(df: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text:
                 part = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
                 ids = [raw[i:j].tobytes() + end for i, j in zip(bounds_of[:-1].tolist(), bounds_of[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=["k", "range", "ids"])
+            pa.default_memory_pool().release_unused()
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(encode, "k bigint, range int, ids binary")
     ordered = rows.repartition(n, "range").sortWithinPartitions("range", F.col("k").asc_nulls_first(), "ids")
