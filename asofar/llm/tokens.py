@@ -35,7 +35,7 @@ from .common import _scratch, parallelism, shared_dir
 CHUNK_BITS = 8
 BLOCK = 512
 END_ID = 2
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 17
 CACHE_WORDS = 1 << 18
 SLICE_BYTES = 4 << 20
 _MAGIC = b"DAC1"
