@@ -29,6 +29,8 @@ from .common import materialize, parallelism
 WORD = 64
 SEED = 42
 _BLOCK = 1 << 22
+#: Buckets of at most so many members are compared in one go for all buckets of a batch.
+_FEW = 64
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -149,11 +151,17 @@ def links(fps: DataFrame, distance: int = 4, words: int = 1, count: int | None =
         def explore(bucket: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> None:
             cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
-            two = starts[ends - starts == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= distance
-            for x, y in zip(ids[two[near]].tolist(), ids[two[near] + 1].tolist(), strict=True):
-                forest.link(x, y)
-            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            sizes = ends - starts
+            few = (sizes > 1) & (sizes <= _FEW)
+            rows = np.flatnonzero(np.repeat(few, sizes))
+            for step in range(1, int(sizes[few].max(initial=1))):
+                one, two = rows[:-step], rows[step:]
+                met = bucket[one] == bucket[two]
+                one, two = one[met], two[met]
+                near = np.bitwise_count(fp[one] ^ fp[two]).sum(axis=1, dtype=np.int64) <= distance
+                for x, y in zip(ids[one[near]].tolist(), ids[two[near]].tolist(), strict=True):
+                    forest.link(x, y)
+            for s, e in zip(starts[sizes > _FEW].tolist(), ends[sizes > _FEW].tolist(), strict=True):
                 _explore(ids[s:e], fp[s:e], distance, forest)
 
         for batch in batches:
