@@ -24,13 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism
+from .common import join_dimension, materialize, parallelism
 
 WORD = 64
 SEED = 42
 _BLOCK = 1 << 22
 #: Buckets of at most so many members are compared in one go for all buckets of a batch.
 _FEW = 64
+#: A candidate component is compared in blocks of so many texts and of so many shingles.
+_TEXTS, _SHINGLES = 2000, 1 << 20
+#: Words of 64 bits that tell map tasks which texts may be candidates.
+_MARKS = 1 << 18
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -237,17 +241,94 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return out.select(F.col("__key").alias("doc_id"), F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in names]).alias("fingerprint"), "component_id", "component_size")
 
 
+def similar(sets: list[np.ndarray], numerator: int = 4, denominator: int = 5) -> list[tuple[int, int]]:
+    """Links that connect what pairs of sets with a Jaccard similarity of numerator / denominator or more connect.
+
+    A set asks for all its links at once, through the postings of its elements. Sets within the group of the first to ask needn't:
+    of any two that end up apart, one at least has asked. Empty sets equal each other.
+    """
+    lengths = np.array([len(x) for x in sets], dtype=np.int64)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), lengths)[order]
+    ends = np.cumsum(np.bincount(element, minlength=1))
+    begins, last = np.concatenate(([0], ends[:-1])), np.cumsum(lengths)
+    forest, out = Forest(), []
+    first = int(np.argsort(lengths, kind="stable")[len(sets) // 2])
+    for x in [first, *[i for i in range(len(sets)) if i != first]]:
+        if x != first and forest.root(x) == forest.root(first):
+            continue
+        if not lengths[x]:
+            hits = np.flatnonzero(lengths == 0)
+        else:
+            own = element[last[x] - lengths[x] : last[x]]
+            n = ends[own] - begins[own]
+            at = np.repeat(begins[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            common = np.bincount(owner[at], minlength=len(sets))
+            hits = np.flatnonzero((common > 0) & (common * denominator >= numerator * (lengths[x] + lengths - common)))
+        for y in hits.tolist():
+            if forest.root(x) != forest.root(y):
+                forest.link(x, y)
+                out.append((x, y))
+    return out
+
+
+def _verified(safe: DataFrame, key: str, text: str, shingle: int, nodes: DataFrame) -> DataFrame:
+    """__a > __b: edges between the __id of nodes (of candidate components, __root) that connect what similar shingle sets connect.
+
+    The sets are made again for candidates only. A component of more than a block's texts or shingles is compared block by block
+    with itself, each two blocks in one task, so none has to fit into one.
+    """
+    many = nodes.groupBy("__root").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__root")
+    wanted = materialize(nodes.join(many, "__root", "left_semi").select("__id", "__root", "__first.none", "__first.id", "__first.hash"), "simhash-candidates")
+    place, bit = F.pmod("hash", F.lit(_MARKS)).alias("__place"), F.expr(f"shiftleft(1L, cast(pmod(hash div {_MARKS}, 64) as int))")
+    marks = wanted.groupBy(place).agg(F.bit_or(bit).alias("__marks"))
+    k = F.col(key).cast("bigint")
+    rows = safe.select(k.isNull().alias("none"), F.coalesce(k, F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("__text"))
+    # at most _MARKS rows are broadcast; a text marked by chance is dropped by the join
+    rows = rows.withColumn("__place", place).join(F.broadcast(marks), "__place").filter(F.col("__marks").bitwiseAND(bit) != 0)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], names=["none", "id", "hash", "__set"])
+
+    made = rows.select("none", "id", "hash", "__text").mapInArrow(sets, "none boolean, id bigint, hash bigint, __set binary")
+    made = materialize(made.join(wanted, ["none", "id", "hash"]).dropDuplicates(["none", "id", "hash"]).select("__id", "__root", "__set"), "simhash-sets")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / _TEXTS, F.sum(F.length("__set")) / (8 * _SHINGLES))).cast("int")
+    large = materialize(made.groupBy("__root").agg(blocks.alias("__blocks")).filter("__blocks > 1"), "simhash-blocks")
+    dealt = join_dimension(made, large, ["__root"], large.count()).withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    dealt = dealt.select("__id", "__root", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__set")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids = group["__id"].to_numpy()
+        pairs = similar([np.frombuffer(x, dtype="<u8") for x in group["__set"].to_pylist()])
+        ends = np.array([(ids[x], ids[y]) for x, y in pairs], dtype=np.int64).reshape(-1, 2)
+        return pa.table({"__a": pa.array(ends.max(axis=1, initial=-1)), "__b": pa.array(ends.min(axis=1, initial=np.iinfo(np.int64).max))})
+
+    return dealt.groupBy("__root", "__i", "__j").applyInArrow(compare, "__a bigint, __b bigint")
+
+
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 38, words: int = 3, count: int | None = 4) -> DataFrame:
-    """One row of df for each component, that of the smallest id (null ids last).
+    """One row of df for each component of texts whose sets of shingles have a Jaccard similarity of .8 or more, that of the smallest id (null ids last).
 
+    Fingerprints only find candidates: texts within the distance, and what these connect. Links are verified on the shingles.
     The defaults take five words and 192 bits of which four fifths agree. At that distance no cut into segments of one differing bit is
     selective, so four segments of 16 bits a word are searched: of a pair with a Jaccard similarity of .8 some segment differs by one
     bit at most with a probability of .98, and the pair lies within the distance with one of .96; at .85 both are above .99.
     """
     columns = {c: f"__col{i}" for i, c in enumerate(df.columns)}
     safe = df.select(*[df[f"`{c}`"].alias(a) for c, a in columns.items()])
-    _, joined = _grouped(safe, columns[key], columns[text], shingle, distance, words, count)
-    chosen = materialize(joined.groupBy("__root").agg(F.min("__first").alias("f")).select("f.none", "f.id", "f.hash"), "simhash-chosen")
+    names = _names(words)
+    base, joined = _grouped(safe, columns[key], columns[text], shingle, distance, words, count)
+    # equal fingerprints don't make equal texts, so each text is a node
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.coalesce("__key", F.lit(0)).alias("id"), F.col("__hash").alias("hash")))
+    nodes = base.groupBy(*names, "__hash").agg(first.alias("__first")).join(joined.select(*names, "__root"), names)
+    nodes = materialize(nodes.select("__root", "__first", F.monotonically_increasing_id().alias("__id")), "simhash-texts")
+    found = components(_verified(safe, columns[key], columns[text], shingle, nodes)).withColumnRenamed("__root", "__label")
+    labelled = nodes.join(found.withColumnRenamed("__node", "__id"), "__id", "left").withColumn("__label", F.coalesce("__label", "__id"))
+    chosen = materialize(labelled.groupBy("__label").agg(F.min("__first").alias("f")).select("f.none", "f.id", "f.hash"), "simhash-chosen")
     k = F.col(columns[key]).cast("bigint")
     rows = safe.withColumns({"none": k.isNull(), "id": F.coalesce(k, F.lit(0)), "hash": F.xxhash64(columns[text])})
     # the join's partitions serve for rows that share id and text, too

@@ -26,7 +26,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose fingerprints of five-word shingles agree in four of five bits."""
+    """One row of each group of texts that pairs with a similarity of 0.8 or more on five-word shingles connect."""
     return simhash.representatives(docs)
 
 

@@ -43,6 +43,73 @@ def test_near_copies_go_and_others_stay(spark):
     assert sum(k in kept for k in near) <= 0.02 * len(near)
 
 
+def edited(words, n, rng):
+    """The words with n of them, spread evenly, replaced."""
+    out = list(words)
+    for i in range(n):
+        out[(2 * i + 1) * len(words) // (2 * n)] = f"z{rng.getrandbits(40):x}"
+    return out
+
+
+def kept_by_brute_force(rows):
+    """The smallest id of each component of pairs at .8 or more."""
+    root = {k: k for k, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (k, t) in enumerate(rows):
+        for m, u in rows[:i]:
+            if similarity(t, u) >= 0.8:
+                a, b = sorted((find(k), find(m)))
+                root[b] = a
+    return {k for k in root if find(k) == k}
+
+
+def test_pairs_below_the_limit_stay(spark):
+    """Near pairs on both sides of .8: none below goes unless links at .8 connect it, and those from .85 on do go."""
+    rng = random.Random(5)
+    rows, below = [], 0
+    for i in range(60):
+        w = [f"w{rng.getrandbits(40):x}" for _ in range(400)]
+        other = edited(w, 2 + i % 20, rng)
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(other))]
+        below += 0.5 <= similarity(rows[-1][1], rows[-2][1]) < 0.8
+    assert below > 20
+    kept = {r.doc_id for r in simhash.representatives(table(spark, rows)).collect()}
+    expected = kept_by_brute_force(rows)
+    assert expected <= kept
+    assert all(similarity(rows[2 * (k // 10)][1], rows[2 * (k // 10) + 1][1]) < 0.85 for k in kept - expected)
+
+
+def test_blocks_of_a_large_component(spark, monkeypatch):
+    """A component that is compared block by block has the same result."""
+    rng = random.Random(6)
+    w = [f"w{rng.getrandbits(40):x}" for _ in range(300)]
+    rows = [(i, " ".join(edited(w, 1 + i % 9, rng))) for i in range(60)]
+    one = {r.doc_id for r in simhash.representatives(table(spark, rows)).collect()}
+    monkeypatch.setattr(simhash, "_TEXTS", 7)
+    assert {r.doc_id for r in simhash.representatives(table(spark, rows)).collect()} == one
+
+
+def test_similar_sets_against_all_pairs():
+    rng = random.Random(7)
+    for _ in range(30):
+        origin = [np.array(rng.sample(range(60), 40), dtype=np.uint64) for _ in range(3)]
+        sets = [np.unique(np.concatenate((rng.choice(origin)[: rng.randint(30, 40)], np.array([rng.randrange(100)], dtype=np.uint64)))) for _ in range(25)] + [np.empty(0, dtype=np.uint64)] * 2
+        want, got = simhash.Forest(), simhash.Forest()
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                n = len(np.intersect1d(a, b))
+                if 5 * n >= 4 * (len(a) + len(b) - n):
+                    want.link(i, j)
+        for i, j in simhash.similar(sets):
+            got.link(i, j)
+        assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+
+
 def test_representatives_of_shared_ids(spark):
     """Rows with one id and differing texts are rows of their own; equal rows are one."""
     rows = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (1, "one two three four five six seven eight nine"), (1, "one two three four five six seven eight nine"), (None, None), (None, ""), (2, "alpha beta gamma delta epsilon zeta eta theta")]
