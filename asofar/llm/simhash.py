@@ -71,12 +71,16 @@ def _names(words: int) -> list[str]:
     return [f"__f{k}" for k in range(words)]
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """__key, __hash (of the text) and the fingerprint's 64-bit words as signed longs, __f0 and on, for each row."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
+    """__key, __hash (of the text) and the fingerprint's 64-bit words as signed longs, __f0 and on, for each row.
+
+    distinct: each shingle of a text counts once, however often it occurs.
+    """
+    hashes = (lambda t: np.unique(shingle_hashes(t, shingle))) if distinct else (lambda t: shingle_hashes(t, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(shingle_hashes(t, shingle), words) for t in b.column(2).to_pylist()], dtype=np.uint64).reshape(b.num_rows, words)
+            fp = np.array([fingerprint(hashes(t), words) for t in b.column(2).to_pylist()], dtype=np.uint64).reshape(b.num_rows, words)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(words)]], names=["__key", "__hash", *_names(words)])
 
     schema = ", ".join(["__key bigint", "__hash bigint", *[f"{n} bigint" for n in _names(words)]])
@@ -220,10 +224,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return label if label is not None else edges.select(F.col("__a").alias("__node"), F.col("__b").alias("__root"))
 
 
-def _grouped(df: DataFrame, key: str, text: str, shingle: int, distance: int, words: int, count: int | None) -> tuple[DataFrame, DataFrame]:
+def _grouped(df: DataFrame, key: str, text: str, shingle: int, distance: int, words: int, count: int | None, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
     """A row for each row of df (__key, __hash, fingerprint), and one for each distinct fingerprint: __root of its component and __first row."""
     names = _names(words)
-    base = materialize(fingerprints(df, key, text, shingle, words), "simhash-fingerprints")
+    base = materialize(fingerprints(df, key, text, shingle, words, distinct), "simhash-fingerprints")
     first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.coalesce("__key", F.lit(0)).alias("id"), F.col("__hash").alias("hash")))
     fps = base.groupBy(*names).agg(F.min("__key").alias("__least"), first.alias("__first"), F.count(F.lit(1)).alias("__n"))
     fps = materialize(fps.withColumn("__id", F.monotonically_increasing_id()), "simhash-distinct")
@@ -313,7 +317,7 @@ def _verified(safe: DataFrame, key: str, text: str, shingle: int, nodes: DataFra
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 38, words: int = 3, count: int | None = 4) -> DataFrame:
     """One row of df for each component of texts whose sets of shingles have a Jaccard similarity of .8 or more, that of the smallest id (null ids last).
 
-    Fingerprints only find candidates: texts within the distance, and what these connect. Links are verified on the shingles.
+    Fingerprints, of distinct shingles, only find candidates: texts within the distance, and what these connect. Links are verified on the shingles.
     The defaults take five words and 192 bits of which four fifths agree. At that distance no cut into segments of one differing bit is
     selective, so four segments of 16 bits a word are searched: of a pair with a Jaccard similarity of .8 some segment differs by one
     bit at most with a probability of .98, and the pair lies within the distance with one of .96; at .85 both are above .99.
@@ -321,7 +325,7 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     columns = {c: f"__col{i}" for i, c in enumerate(df.columns)}
     safe = df.select(*[df[f"`{c}`"].alias(a) for c, a in columns.items()])
     names = _names(words)
-    base, joined = _grouped(safe, columns[key], columns[text], shingle, distance, words, count)
+    base, joined = _grouped(safe, columns[key], columns[text], shingle, distance, words, count, distinct=True)
     # equal fingerprints don't make equal texts, so each text is a node
     first = F.min(F.struct(F.col("__key").isNull().alias("none"), F.coalesce("__key", F.lit(0)).alias("id"), F.col("__hash").alias("hash")))
     nodes = base.groupBy(*names, "__hash").agg(first.alias("__first")).join(joined.select(*names, "__root"), names)

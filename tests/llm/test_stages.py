@@ -84,6 +84,22 @@ def test_pairs_below_the_limit_stay(spark):
     assert all(similarity(rows[2 * (k // 10)][1], rows[2 * (k // 10) + 1][1]) < 0.85 for k in kept - expected)
 
 
+def test_repeated_lines_count_once(spark):
+    """A line repeated in two unrelated texts doesn't link them in the fingerprints, and one repeated in one of two copies doesn't part them."""
+    rng = random.Random(8)
+    line = "one line of eight words that comes back"
+    rows = []
+    for i in range(20):
+        w = [f"w{rng.getrandbits(40):x}" for _ in range(400)]
+        plain = " ".join(w) + "\n" + line
+        rows += [(10 * i, plain), (10 * i + 1, plain + ("\n" + line) * 20)]
+    kept = {r.doc_id for r in simhash.representatives(table(spark, rows)).collect()}
+    assert kept == kept_by_brute_force(rows) == {10 * i for i in range(20)}
+    found = simhash.fingerprints(table(spark, rows[1::2]), shingle=5, words=3, distinct=True).collect()
+    bits = [sum(((r[f"__f{k}"] & (1 << 64) - 1) << (64 * k)) for k in range(3)) for r in found]
+    assert min((a ^ b).bit_count() for i, a in enumerate(bits) for b in bits[:i]) > 38
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     """A component that is compared block by block has the same result."""
     rng = random.Random(6)
