@@ -3,7 +3,8 @@
 Each source gets a share of all words by its weight, held to a multiple of its own size, the excess reshared by weight
 (water filling). A source takes as many complete passes over its documents as fit its target, then a fraction of one more:
 documents come in Efraimidis-Spirakis order (ascending -ln(u) / quality weight with a reproducible u) and are taken until the
-running sum of words meets the remaining budget; the last one is cut to fit.
+running sum of words meets the remaining budget; of the last one only the words that fit are counted. As texts stay whole, mixed()
+takes that one whole or not at all, whichever is nearer to the target.
 
 The order needs no sort of a whole source: the key maps monotonically onto a grid of 2**24 cells, words are summed by cell
 prefix (two levels of 4096), and only the cell on the boundary is put in order. So a source that holds a third of all rows
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_dimension, let, materialize, words, SPACE_CLASS
+from .common import join_dimension, let, materialize, words
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -108,7 +109,7 @@ def _boundary(grid: DataFrame, cell: str, keys: list[str]) -> DataFrame:
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of df as often as the mix takes them, with the columns of df; the fractional copy at a source's end is cut."""
+    """The rows of df as often as the mix takes them, with the columns of df. Texts are whole: of a fractional copy half its words or more make one, fewer none."""
     names = {c: f"__col{i}" for i, c in enumerate(df.columns)}
     safe = df.select(*[df[f"`{c}`"].alias(a) for c, a in names.items()])
     decided = plan(safe, names[key], names[text], names[source], weights).filter("taken > 0").groupBy("__key", "__source", "__digest").agg(F.max("size").alias("__size"), F.collect_list("taken").alias("__taken"))
@@ -123,9 +124,5 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     out = single.unionByName(several).withColumn("__words", F.get("__taken", F.lit(0)))
     whole = F.floor(F.col("__words") / F.col("__size")).cast("int")
     rest = F.col("__words") - whole * F.col("__size")
-    # pieces are cut behind each word, so each but a last blank one is a word with the blanks before it
-    pieces = F.split(t, rf"(?<=[^\x20\x09-\x0D])(?={SPACE_CLASS})", -1)
-    cut = F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), "")
-    copies = F.concat(F.array_repeat(F.col(names[text]), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("__copy", F.explode(copies))
+    out = out.withColumn("__copy", F.explode(F.array_repeat(F.col(names[text]), whole + (2 * rest >= F.col("__size")).cast("int"))))
     return out.select(*[F.col("__copy" if c == text else a).alias(c) for c, a in names.items()])

@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; the fractional copy at a source's end is cut."""
+    """Rows as often as the mix takes them, with whole texts: the copy at a source's end is taken or left."""
     return mixing.mixed(docs)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from asofar.llm import simhash
+from asofar.llm import mixing, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -143,6 +144,19 @@ def test_stage_of_an_empty_table(spark, name):
         assert out.columns == docs.columns
 
 
+def test_mixed_texts_are_whole(spark):
+    """The text on a source's boundary is taken whole or left, whichever is nearer to the target."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.getrandbits(30):x}" for _ in range(rng.randint(3, 90))) + "\n", None, f"s{i % 7}", i) for i in range(140)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = {r["__key"]: (r["taken"], r["size"]) for r in mixing.plan(docs).collect()}
+    assert any(t % n for t, n in taken.values())
+    got = mixing.mixed(docs).collect()
+    assert {(r.doc_id, r.text, r.source, r.n_chars) for r in got} <= {(r[0], r[1], r[3], r[4]) for r in rows}
+    count = Counter(r.doc_id for r in got)
+    assert all(abs(count[k] * n - t) <= abs(c * n - t) for k, (t, n) in taken.items() for c in (t // n, t // n + 1))
+
+
 def test_run(spark):
     """Each document that comes out went in, copies are gone, and ids decode."""
     sf = "/root/testdata/sf0.001"
