@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, parallelism, SPACE_CLASS
@@ -162,13 +162,15 @@ def resolve(df: DataFrame, key: str = "doc_id", text: str = "text", history: Dat
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
-    """One row of df for each distinct normalised text. Needs ids; rows that share id and text count as one."""
+    """One row of df for each distinct normalised text: most code points, smallest id (null ids last), smallest hash of the raw text."""
     names = {c: f"__col{i}" for i, c in enumerate(df.columns)}
     safe = df.select(*[df[f"`{c}`"].alias(a) for c, a in names.items()])
-    keep = resolve(safe, names[key], names[text], history).filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest")).distinct()
-    keep = keep.withColumnRenamed("doc_id", "__id")
-    rows = safe.withColumn("__d", F.unhex(F.sha2(normalised(F.col(names[text])), 256)))
-    out = rows.join(keep, F.col(names[key]).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left_semi").drop("__d")
-    if key in names:
-        out = out.dropDuplicates([names[key], names[text]])
+    keep = resolve(safe, names[key], names[text], history).filter("kept")
+    keep = keep.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.unhex("text_sha256").alias("__d")).distinct()
+    k = F.col(names[key]).cast("bigint")
+    rows = safe.withColumns({"__none": k.isNull(), "__id": F.coalesce(k, F.lit(0)), "__d": F.unhex(F.sha2(normalised(F.col(names[text])), 256))})
+    on = ["__none", "__id", "__d"]
+    # a digest's rows left by the join share one id and the join's partitions: a window sees as many as share id and digest
+    best = Window.partitionBy(*on).orderBy(F.length(F.coalesce(F.col(names[text]), F.lit(""))).desc(), F.xxhash64(names[text]))
+    out = rows.join(keep, on, "left_semi").withColumn("__rank", F.row_number().over(best)).filter("__rank = 1")
     return out.select(*[F.col(a).alias(c) for c, a in names.items()])

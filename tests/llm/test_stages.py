@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from asofar.llm import mixing, simhash
+from asofar.llm import exact, mixing, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -144,6 +144,14 @@ def test_stage_of_an_empty_table(spark, name):
         assert out.columns == docs.columns
 
 
+def test_one_row_of_each_exact_group(spark):
+    """Of rows that share an id, or have none, and differ in white space only, the longest stays."""
+    rows = [(1, "a b c"), (1, "a  b  c"), (1, "ab c"), (2, "a b c"), (None, "d e"), (None, "d  e"), (None, "de"), (3, "f g"), (3, "f\tg"), (4, "h"), (4, "h"), (None, None), (None, "  "), (0, " ")]
+    got = exact.deduplicated(table(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, "".join((r.text or "").split())) for r in got) == [(-1, ""), (-1, "de"), (1, "abc"), (3, "fg"), (4, "h")]
+    assert {"a  b  c", "d  e", "  "} <= {r.text for r in got}
+
+
 def test_mixed_texts_are_whole(spark):
     """The text on a source's boundary is taken whole or left, whichever is nearer to the target."""
     rng = random.Random(9)
