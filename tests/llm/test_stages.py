@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -176,6 +179,93 @@ def test_run(spark):
     assert all(len(r.ids) == 4 * r.n_tokens for r in out.select("ids", "n_tokens").collect())
 
 
+def brute_force(docs):
+    """How often each document comes out of rules, exact and near dedup and mix; docs: (doc_id, text, source) with distinct ids."""
+
+    def split(t):
+        return [x.decode() for x in t.encode().split()]
+
+    def failed(t):
+        w = split(t)
+        triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        many = Counter(triples)
+        covered = {i + j for i, x in enumerate(triples) if many[x] > 1 for j in range(3)}
+        return len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+    bad = {k: failed(t) for k, t, _ in docs}
+    hosts = {}
+    for k, _, h in docs:
+        d, f = hosts.get(h, (0, 0))
+        hosts[h] = (d + 1, f + bad[k])
+    m = sum(f for _, f in hosts.values()) / len(docs)
+    var = sum(f * f / d for d, f in hosts.values()) / len(docs) - m * m
+    s = 1e6 if var <= 1e-12 else min(1e6, max(1.0, m * (1 - m) / var - 1))
+    docs = [x for x in docs if not bad[x[0]] and (hosts[x[2]][1] + m * s) / (hosts[x[2]][0] + s) < 0.9]
+    groups = {}
+    for x in docs:
+        groups.setdefault("".join(split(x[1])), []).append(x)
+    docs = [min(g, key=lambda x: (-len(x[1]), x[0])) for g in groups.values()]
+    kept = kept_by_brute_force([(k, t) for k, t, _ in docs])
+    docs = [x for x in docs if x[0] in kept]
+    size = {k: len(split(t)) for k, t, _ in docs}
+    sources = sorted({h for _, _, h in docs})
+    weight = {h: (5.0, 2.0, 1.0)[i % 3] for i, h in enumerate(sources)}
+    words = {h: sum(size[k] for k, _, x in docs if x == h) for h in sources}
+    stopped, level = None, 0.0
+    while (now := {h for h in sources if 3.0 * words[h] <= level * weight[h]}) != stopped and len(now) < len(sources):
+        stopped, level = now, (sum(words.values()) - sum(3.0 * words[h] for h in now)) / sum(weight[h] for h in sources if h not in now)
+
+    def order(x):
+        k, t, _ = x
+        u = (int(hashlib.md5(f"17:{k}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / float(1 << 52)
+        return -math.log(u) / (0.5 + 0.5 * len(re.sub("[^A-Za-z0-9 ]+", "", t)) / len(t)), k
+
+    out = Counter()
+    for h in sources:
+        left = math.floor(min(3.0 * words[h], level * weight[h]) + 0.5)
+        passes = math.floor(min(3.0 * words[h], level * weight[h]) / words[h])
+        left -= passes * words[h]
+        for k, _, _ in sorted((x for x in docs if x[2] == h), key=order):
+            out[k] += passes + (2 * max(0, min(size[k], left)) >= size[k])
+            left -= size[k]
+    return docs, +out
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """Rules, exact and near copies on both sides of .8, repeated lines and the mix: each document comes out as often as by brute force."""
+    rng = random.Random(10)
+    word = lambda: f"w{rng.getrandbits(30):x}"
+    line = "a line that many of these texts share here"
+    docs = []
+
+    def add(text, source):
+        docs.append((len(docs), text, source))
+
+    for i in range(60):
+        source, w = f"s{i % 5}", [word() for _ in range(rng.randint(150, 400))]
+        t = " ".join(w) + ("\n" + line) * (len(w) // 25 if i % 3 == 0 else 0)
+        add(t, source)
+        if i % 4 == 0:
+            add("\n".join(w) + ("  \n" + line) * t.count(line), source)
+        if i % 2:
+            add(" ".join(edited(w, max(1, len(w) // rng.choice([90, 120, 20, 25, 30, 15])), rng)), f"s{(i + 1) % 5}")
+        if i % 7 == 0:
+            add(t + ("\n" + line) * 9, source)
+        if i % 6 == 0:
+            add(" ".join(w[: rng.randint(1, 49)]), source)
+            add(" ".join(w[:20] * 10), source)
+    for i in range(40):
+        add(" ".join(word() for _ in range(60 if i == 0 else 20)), "junk")
+    near = [similarity(a[1], b[1]) for i, a in enumerate(docs) for b in docs[:i] if a[2] != "junk" != b[2] and len(a[1]) > 900 < len(b[1])]
+    assert sum(0.5 <= x < 0.8 for x in near) >= 10
+    spark.createDataFrame([(k, t, None, h, len(t)) for k, t, h in docs], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    left, expected = brute_force(docs)
+    assert 40 < len(left) < len(docs) and max(expected.values()) > 1
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "round_trip", "n_viterbi").collect()
+    assert all(r.round_trip for r in out)
+    assert Counter(r.doc_id for r in out) == expected
+
+
 def test_words_of_a_fingerprint_differ():
     f = simhash.fingerprint(np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 4)
     assert min((a ^ b).bit_count() for i, a in enumerate(f) for b in f[:i]) > 10
