@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, parallelism, SPACE_CLASS
@@ -168,9 +168,12 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", history
     keep = resolve(safe, names[key], names[text], history).filter("kept")
     keep = keep.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.unhex("text_sha256").alias("__d")).distinct()
     k = F.col(names[key]).cast("bigint")
-    rows = safe.withColumns({"__none": k.isNull(), "__id": F.coalesce(k, F.lit(0)), "__d": F.unhex(F.sha2(normalised(F.col(names[text])), 256))})
-    on = ["__none", "__id", "__d"]
-    # a digest's rows left by the join share one id and the join's partitions: a window sees as many as share id and digest
-    best = Window.partitionBy(*on).orderBy(F.length(F.coalesce(F.col(names[text]), F.lit(""))).desc(), F.xxhash64(names[text]))
-    out = rows.join(keep, on, "left_semi").withColumn("__rank", F.row_number().over(best)).filter("__rank = 1")
+    rows = safe.withColumns({"__none": k.isNull(), "__id": F.coalesce(k, F.lit(0)), "__hash": F.xxhash64(names[text])})
+    # which of the rows that share id and digest stays is decided without their texts
+    best = F.min(F.struct((-F.length(F.coalesce(F.col(names[text]), F.lit("")))).alias("c"), F.col("__hash").alias("h")))
+    same = rows.withColumn("__d", F.unhex(F.sha2(normalised(F.col(names[text])), 256))).groupBy("__none", "__id", "__d").agg(best.alias("b"))
+    chosen = materialize(same.join(keep, ["__none", "__id", "__d"], "left_semi").select("__none", "__id", F.col("b.h").alias("__hash")), "exact-chosen")
+    on = ["__none", "__id", "__hash"]
+    # the join's partitions serve for rows that share id and text, too
+    out = rows.join(chosen, on, "left_semi").dropDuplicates(on)
     return out.select(*[F.col(a).alias(c) for c, a in names.items()])
