@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, time, timedelta, timezone
+from functools import lru_cache
 from typing import Any
 from zoneinfo import ZoneInfo
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import temporal
 
 MAX_TILES = 53_424
+#: A table of at most so many days, some 270 years, may be broadcast.
+DAYS = 100_000
 _UNITS = {"s": 1, "m": 60, "min": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -95,52 +98,92 @@ class CronSchedule:
     def b(self) -> int:
         return seconds(self.blind_spot)
 
+    def __post_init__(self) -> None:
+        self._minutes()
+        # the days of a leap-year cycle with a century's gap in it; a crontab without a tick there has none at all
+        if not any(self._on(date(1896, 1, 1) + timedelta(days=k)) for k in range(3288)):
+            raise ValueError(f"the crontab never fires: {self.crontab!r}")
+
+    def _fields(self) -> list[set[int]]:
+        return _parsed(self.crontab)
+
+    def _minutes(self) -> list[tuple[int, int]]:
+        minute, hour, *_ = self._fields()
+        return [(h, m) for h in sorted(hour) for m in sorted(minute)]
+
+    def _on(self, at: date) -> bool:
+        """Whether there are ticks on a local day. Day and weekday: both must fit if one is a star, else either."""
+        _, _, day, month, weekday = self._fields()
+        stars = [self.crontab.split()[k] == "*" for k in (2, 4)]
+        by_day, by_weekday = at.day in day, at.isoweekday() % 7 in {d % 7 for d in weekday}
+        return at.month in month and ((by_day and by_weekday) if any(stars) else (by_day or by_weekday))
+
+    def longest_gap(self) -> int:
+        """Seconds that no tick may come for, at most: the days between two days with ticks, of a leap-year cycle and a century's gap."""
+        if self.crontab.split()[2:] == ["*", "*", "*"]:
+            return 2 * 86400
+        days = [k for k in range(2 * 3288) if self._on(date(1896, 1, 1) + timedelta(days=k))]
+        return (max([b - a for a, b in zip(days[:-1], days[1:], strict=True)], default=3288) + 1) * 86400
+
     def ticks(self, start: datetime, end: datetime) -> list[datetime]:
         """UTC ticks in [start, end); start and end are zoneless UTC."""
-        minute, hour, day, month, weekday = (_field(f, *r) for f, r in zip(self.crontab.split(), ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7)), strict=True))
-        weekday = {d % 7 for d in weekday}
-        any_day, any_weekday = (self.crontab.split()[k] == "*" for k in (2, 4))
-        zone, out = ZoneInfo(self.timezone), []
+        zone, out = ZoneInfo(self.timezone), set()
         at = start.replace(tzinfo=timezone.utc).astimezone(zone).date()
         last = end.replace(tzinfo=timezone.utc).astimezone(zone).date()
+        minutes = self._minutes()
         while at <= last:
-            by_day, by_weekday = at.day in day, at.isoweekday() % 7 in weekday
-            if at.month in month and ((by_day and by_weekday) if any_day or any_weekday else (by_day or by_weekday)):
-                for h in sorted(hour):
-                    for m in sorted(minute):
-                        t = datetime(at.year, at.month, at.day, h, m, tzinfo=zone).astimezone(timezone.utc).replace(tzinfo=None)
-                        if start <= t < end:
-                            out.append(t)
+            if self._on(at):
+                for h, m in minutes:
+                    t = datetime(at.year, at.month, at.day, h, m, tzinfo=zone).astimezone(timezone.utc).replace(tzinfo=None)
+                    if start <= t < end:
+                        out.add(t)
             at += timedelta(days=1)
-        return sorted(set(out))
+        return sorted(out)
+
+    def last_before(self, at: datetime) -> datetime:
+        """The last tick before a zoneless UTC time."""
+        span, upto = 2, at
+        while True:
+            found = self.ticks(upto - timedelta(days=span), upto)
+            if found:
+                return found[-1]
+            upto, span = upto - timedelta(days=span), 4 * span
 
     def job_times(self, points: DataFrame, pit: str, name: str = "__job") -> DataFrame:
-        """points with the last tick strictly before each point in time. A small table of days, as many as the points span, is broadcast.
+        """points with the last tick strictly before each point in time.
 
-        Each day carries its own ticks and the last one before it, so no sort of the points is needed.
+        A row for each day that the points span carries the last tick before it and the number of its pattern of ticks (seconds of the
+        day). Patterns are few, as only changes of the clock make new ones, so an every-minute crontab over decades stays small:
+        below DAYS days both tables are broadcast.
         """
         spark: SparkSession = points.sparkSession
-        low, high = points.agg(F.min(pit), F.max(pit)).first()
+        p = F.col(pit).cast("timestamp_ntz")
+        low, high = points.agg(F.min(p).cast("string"), F.max(p).cast("string")).first()
         if low is None:
             return points.withColumn(name, F.lit(None).cast("timestamp_ntz"))
-        first = datetime(low.year, low.month, low.day)
-        ticks = self.ticks(first - timedelta(days=800), high.replace(tzinfo=None) + timedelta(days=1))
+        first, end = (datetime.combine(datetime.fromisoformat(x).date(), time()) for x in (low, high))
+        patterns: dict[tuple[int, ...], int] = {(): 0}
         rows: list[tuple[Any, ...]] = []
-        at, k, before = first, 0, None
-        while at <= high.replace(tzinfo=None):
-            while k < len(ticks) and ticks[k] < at:
-                before, k = ticks[k], k + 1
-            own, j = [], k
-            while j < len(ticks) and ticks[j] < at + timedelta(days=1):
-                own.append(ticks[j])
-                j += 1
-            rows.append((at.date(), own, before))
+        at, before = first, self.last_before(first)
+        while at <= end:
+            own = self.ticks(at, at + timedelta(days=1))
+            said = tuple(int((t - at).total_seconds()) for t in own)
+            rows.append((at.date(), patterns.setdefault(said, len(patterns)), before))
+            before = own[-1] if own else before
             at += timedelta(days=1)
-        days = spark.createDataFrame(rows, "__day date, __ticks array<timestamp_ntz>, __before timestamp_ntz")
-        p = F.col(pit).cast("timestamp_ntz")
-        joined = points.join(F.broadcast(days), p.cast("date") == F.col("__day"), "left")
-        inside = F.array_max(F.filter("__ticks", lambda t: t < p))
-        return joined.withColumn(name, F.coalesce(inside, "__before")).drop("__day", "__ticks", "__before")
+        days = spark.createDataFrame(rows, "__day date, __pattern int, __before timestamp_ntz")
+        kinds = spark.createDataFrame([(k, list(said)) for said, k in patterns.items()], "__pattern int, __ticks array<int>")
+        small = F.broadcast if len(rows) <= DAYS else (lambda df: df)
+        joined = points.join(small(days), p.cast("date") == F.col("__day"), "left").join(F.broadcast(kinds), "__pattern", "left")
+        since = temporal.micros(p) - temporal.micros(F.col("__day"))
+        inside = F.array_max(F.filter("__ticks", lambda t: t.cast("bigint") * 1_000_000 < since))
+        own = temporal.from_micros(temporal.micros(F.col("__day")) + inside.cast("bigint") * 1_000_000)
+        return joined.withColumn(name, F.coalesce(own, "__before")).drop("__day", "__pattern", "__ticks", "__before")
+
+
+@lru_cache(maxsize=1000)
+def _parsed(crontab: str) -> list[set[int]]:
+    return [_field(f, *r) for f, r in zip(crontab.split(), ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7)), strict=True)]
 
 
 def _field(text: str, low: int, high: int) -> set[int]:

@@ -7,7 +7,6 @@ Requests are reduced to distinct keys and jobs before any join, and results come
 from __future__ import annotations
 
 from collections import defaultdict
-from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ from ..operators.aggregates import INVERTIBLE, Aggregate, distinct_values
 from .specs import AnyLeaf, AsAtAggregation, CalendarAggregation, ForwardAggregation, ItemAggregation, Lookup, WindowAggregation
 
 PIT = "POINT_IN_TIME"
+#: Seconds of the longest calendar unit of each kind.
+_LONGEST = {"MINUTE": 60, "HOUR": 3600, "DAY": 86400, "WEEK": 7 * 86400, "MONTH": 31 * 86400, "QUARTER": 92 * 86400, "YEAR": 366 * 86400}
 
 
 def _keyed(leaf: AnyLeaf) -> DataFrame:
@@ -63,7 +64,9 @@ class Planner:
 
     def __init__(self, request: DataFrame, pit: str = PIT, prune: bool = True) -> None:
         self.request, self.pit = request, pit
-        self.bounds = request.agg(F.min(pit), F.max(pit)).first() if prune and pit in request.columns else None
+        # microseconds since the epoch: a zoned time as a Python object would depend on the process's own time zone
+        t = temporal.micros(F.col(f"`{pit}`"))
+        self.bounds = request.agg(F.min(t), F.max(t)).first() if prune and pit in request.columns else None
 
     def attach(self, leaves: list[AnyLeaf]) -> DataFrame:
         out = self.request
@@ -87,17 +90,20 @@ class Planner:
         return out
 
     def _bounded(self, df: DataFrame, ts: str, back: int | None, ahead: int = 0) -> DataFrame:
-        """Rows that some request can see; a plain comparison with literals, which scans and partitions take up."""
+        """Rows from back seconds before the first request to ahead seconds after the last one (back None: since ever).
+
+        A plain comparison with constants, which scans and partitions take up.
+        """
         if self.bounds is None or self.bounds[0] is None:
             return df
         low, high = self.bounds
         kind = dict(df.dtypes)[ts]
         if not kind.startswith("timestamp"):
             return df
-        lit = lambda t: F.lit(t.replace(tzinfo=None).isoformat(sep=" ")).cast(kind)
+        at = lambda t: F.timestamp_micros(F.lit(t)).cast(kind)
         c = F.col(f"`{ts}`")
-        df = df.filter(c <= lit(high + timedelta(seconds=ahead)))
-        return df if back is None else df.filter(c >= lit(low - timedelta(seconds=back)))
+        df = df.filter(c <= at(high + ahead * 1_000_000))
+        return df if back is None else df.filter(c >= at(low - back * 1_000_000))
 
     def _merged(self, out: DataFrame, leaves: list[AnyLeaf], tiles: DataFrame, serving: tuple[str, ...], last: Column, spans: dict[tuple[int, int], list[AnyLeaf]]) -> DataFrame:
         """Joins each span's tiles [last - offset - n, last - offset) to distinct requests, merges and attaches them."""
@@ -186,7 +192,9 @@ class Planner:
         x0 = leaves[0]
         unit, s = x0.window.unit, x0.schedule
         ts = temporal.local(F.col(f"`{x0.ts}`"), x0.zone)
-        rows = _keyed(x0).filter(F.col(f"`{x0.ts}`").isNotNull()).withColumn("__idx", temporal.calendar_index(ts, unit))
+        # a day more on either side for time zones, two days for the blind spot's calendar unit; ticks look back at most so far
+        back = max(x.window.size + x.offset + 1 for x in leaves) * _LONGEST[unit] + s.b + s.longest_gap() + 3 * 86400
+        rows = self._bounded(_keyed(x0).filter(F.col(f"`{x0.ts}`").isNotNull()), x0.ts, back, 86400).withColumn("__idx", temporal.calendar_index(ts, unit))
         tiles = self._tiles(rows, leaves, [*[f"__s_{k}" for k in x0.serving], "__idx"])
         points = s.job_times(out.select(self.pit).distinct(), self.pit)
         end = temporal.calendar_index(temporal.local(temporal.add(F.col("__job"), -s.b * 1_000_000), s.timezone), unit)
@@ -260,7 +268,7 @@ class Planner:
         x0 = leaves[0]
         keys = [*x0.serving, self.pit]
         asked = out.select(*keys).distinct().dropna()
-        rows = self._bounded(_keyed(x0).filter(F.col(f"`{x0.ts}`").isNotNull()), x0.ts, None, x0.offset + x0.window + 1)
+        rows = self._bounded(_keyed(x0).filter(F.col(f"`{x0.ts}`").isNotNull()), x0.ts, -x0.offset, x0.offset + x0.window + 1)
         rows = self._renamed(rows, x0.serving).withColumn("__when", temporal.epoch(F.col(f"`{x0.ts}`")))
         rows = rows.select(*[c for c in rows.columns if c != self.pit])
         low = temporal.epoch(F.col(self.pit)) + (x0.offset + 1)
