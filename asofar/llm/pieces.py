@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The search reads code points one by one; scores and characters are kept for a window as long as the longest piece, backpointers for what
-isn't committed. Surviving paths - those that end in the window - are followed back; when all of them run through one boundary, the ids
-before it are committed and dropped. They are followed when the open part has grown by a quarter, so the work stays linear in the
-text. Only a text whose paths never meet (one character, repeated, cut in several phases) keeps its backpointers, a few bytes each, to its
-end. The best path is that of the highest summed score; of equal ones the one whose last piece is longest.
+The search reads code points one by one. It keeps scores and characters for a window as long as the longest piece, and the tree of
+backpointers that survive: a boundary that has left the window goes when no later one points to it, and when all survivors descend from
+one boundary, the ids up to it are committed and dropped at once. Each boundary enters and leaves the tree once, so the work is linear. Only a
+text whose paths never meet (one character, repeated) keeps its tree to its end. The best path is that of the highest summed score; of
+equal ones the one whose last piece is longest.
 
-A vocabulary says where the search always converges: if no piece has the word mark behind another character, every word's start is such a
-boundary, and so is any place where no piece holds the two characters around it. What lies between is then encoded piece by piece
-and remembered (CACHE_WORDS at most); a stretch within WINDOW_CHARS needs no commits, a longer one streams.
+A vocabulary may say where the search always converges: if no piece has the word mark behind another character, every word's start is
+such a boundary. Then the distinct words of a few megabytes of text are searched, all words of one length in step (the same recurrence, a lane
+for each word), and their ids gathered for all texts. Longer words than LANE_CHARS, and whole texts under other vocabularies, stream. Words are
+remembered (CACHE_WORDS at most); what doesn't fit is searched again.
 
 Viterbi search is the rule of unigram models. A model file of the BPE type defines its ids by merges, which no sum of scores
-reproduces; for such a file ``ids`` are the merges' (the library is asked word by word between the same boundaries), and the Viterbi
+reproduces; for such a file ``ids`` are the merges' (the library is asked for the same distinct words), and the Viterbi
 segmentation over the same pieces and scores stands beside them. Unknown characters fall back to bytes.
 
 Edge cases: a null text is empty and has no ids; white space and the word mark's own character are kept as the model's
@@ -21,23 +22,24 @@ empty table gives an empty result; other columns don't take part.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 CACHE_WORDS = 1 << 18
-#: Longer words are encoded without being remembered.
-CACHE_CHARS = 64
-#: Longer stretches without a word boundary go through the committing search.
-WINDOW_CHARS = 256
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Longer words stream, and aren't remembered.
+LANE_CHARS = 64
+#: Texts are taken in slices of about so many bytes.
+SLICE_BYTES = 4 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_model() -> str:
@@ -62,18 +64,34 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.id[p] = i
                 self.score[p] = m.get_score(i)
+        self.spelt = {i: p for p, i in self.id.items()}
         self.longest = max(map(len, self.id), default=1)
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.word_starts = all(MARK not in p.lstrip(MARK) for p in self.id)
-        self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         with open(path, "rb") as f:
-            self.unigram = _model_type(f.read()) == 1
-
-    def units(self, word: str) -> list[str]:
-        """The word cut wherever no piece holds the two characters around: every path runs through such a boundary."""
-        inside = self.inside
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+            raw = f.read()
+        self.unigram = _model_type(raw) == 1
+        rules = dict(_fields(next((v for n, v in _fields(raw) if n == 3), b"")))
+        #: Whether normalising is no more than the prefix and blanks as marks: no map of characters, no blanks taken out.
+        self.plain = not rules.get(2) and rules.get(4, 1) == 0 and rules.get(5, 1) == 1
+        self.prefix = bool(rules.get(3, 1))
+        self.tables = self._tables()
+
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each size: sorted hashes of the pieces, their scores and ids."""
+        by_size: list[list[str]] = [[] for _ in range(self.longest + 1)]
+        for p in self.id:
+            by_size[len(p)].append(p)
+        out = []
+        for size, some in enumerate(by_size):
+            codes = np.frombuffer("".join(some).encode("utf-32-le"), "<u4").reshape(len(some), size) if size and some else np.empty((0, size), np.uint32)
+            h = np.zeros(len(codes), np.uint64)
+            for k in range(size):
+                h = h * _MIX + codes[:, k]
+            order = np.argsort(h)
+            ids = np.array([self.id[p] for p in some], dtype=np.int32)
+            out.append((h[order], np.array([self.score[p] for p in some])[order] if some else np.empty(0), ids[order]))
+        return out
 
     def unknown_ids(self, char: str) -> list[int]:
         if not self.byte:
@@ -117,94 +135,133 @@ def _model_type(raw: bytes) -> int:
 
 
 class StreamingViterbi:
-    """Feed characters, take committed ids. What is open: characters and backpointers since the last committed boundary."""
+    """Feed characters, take committed ids. What is open: the window, and the surviving backpointers since the last committed boundary."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.open: list[str] = []
+        self.n = self.root = 0
         self.tail = ""  # the last characters, as many as the longest piece has
         self.best = [0.0]  # scores of the last boundaries, likewise
-        self.back = [0]
+        self.up: dict[int, int] = {}
+        self.ids: dict[int, list[int]] = {}
+        self.kids = {0: 0}  # of each boundary in the tree: how many point to it,
+        self.mixed = {0: 0}  # and their exclusive or: of one child the child itself
         self.widest = 0
-        self.due = pieces.longest
 
     def feed(self, chars: Iterable[str]) -> Iterator[list[int]]:
         p = self.p
         score, longest, unknown = p.score.get, p.longest, p.unknown
+        up, kids, mixed = self.up, self.kids, self.mixed
         for ch in chars:
-            self.open.append(ch)
-            self.tail = tail = (self.tail + ch)[-longest:]
-            n, best = len(self.open), self.best
-            top, at = best[-1] + score(ch, unknown), n - 1
-            for size in range(2, min(len(tail), n) + 1):
-                s = score(tail[-size:])
-                if s is not None and best[-size] + s >= top:
-                    top, at = best[-size] + s, n - size
+            tail = self.tail = (self.tail + ch)[-longest:]
+            n, best = self.n + 1, self.best
+            self.n = n
+            top, size = best[-1] + score(ch, unknown), 1
+            for k in range(2, min(len(tail), len(best)) + 1):
+                s = score(tail[-k:])
+                if s is not None and best[-k] + s >= top:
+                    top, size = best[-k] + s, k
             best.append(top)
             if len(best) > 2 * longest:
-                self.best = best[-longest:]
-            self.back.append(at)
-            if n >= self.due:
-                self.widest = max(self.widest, n)
-                cut = self._converged(n)
-                if cut:
-                    yield self._commit(cut)
-                self.due = len(self.open) + max(longest, len(self.open) // 4)
-
-    def _converged(self, n: int) -> int:
-        """The last boundary that all paths run through which a later piece may still extend."""
-        alive = set(range(max(0, n - self.p.longest + 1), n + 1))
-        while len(alive) > 1:
-            last = max(alive)
-            alive.discard(last)
-            alive.add(self.back[last])
-        return alive.pop()
-
-    def _ids(self, end: int) -> list[int]:
-        out: list[int] = []
-        while end:
-            start = self.back[end]
-            piece = "".join(self.open[start:end])
-            known = self.p.id.get(piece)
-            out += [known] if known is not None else self.p.unknown_ids(piece)[::-1]
-            end = start
-        return out[::-1]
-
-    def _commit(self, cut: int) -> list[int]:
-        ids = self._ids(cut)
-        self.open = self.open[cut:]
-        kept = self.best[-len(self.open) - 1 :]
-        self.best = [b - kept[0] for b in kept]
-        self.back = [0, *[max(0, b - cut) for b in self.back[cut + 1 :]]]
-        return ids
+                least = best[-longest]
+                self.best = [b - least for b in best[-longest:]]
+            piece, at = tail[-size:], n - size
+            known = p.id.get(piece)
+            self.ids[n] = [known] if known is not None else p.unknown_ids(piece)
+            up[n], kids[n], mixed[n] = at, 0, 0
+            kids[at] += 1
+            mixed[at] ^= n
+            gone = n - longest  # no later piece starts here
+            while gone > self.root and kids.get(gone) == 0:
+                parent = up.pop(gone)
+                kids[parent] -= 1
+                mixed[parent] ^= gone
+                del kids[gone], mixed[gone], self.ids[gone]
+                gone = parent
+            self.widest = max(self.widest, len(up))
+            out: list[int] = []
+            while self.root <= n - longest and kids[self.root] == 1:
+                child = mixed[self.root]
+                out += self.ids.pop(child)
+                del up[child], kids[self.root], mixed[self.root]
+                self.root = child
+            if out:
+                yield out
 
     def finish(self) -> list[int]:
-        return self._commit(len(self.open))
+        """The ids that are still open."""
+        path, at = [], self.n
+        while at != self.root:
+            path.append(self.ids[at])
+            at = self.up[at]
+        return [i for ids in reversed(path) for i in ids]
 
 
 def viterbi(pieces: Pieces, text: str) -> list[int]:
-    """Ids of the highest-scored segmentation of a normalised text. Texts within a window take the same search without commits."""
-    if len(text) > WINDOW_CHARS:
-        search = StreamingViterbi(pieces)
-        out = [i for ids in search.feed(text) for i in ids]
-        return out + search.finish()
-    score, longest, unknown = pieces.score.get, pieces.longest, pieces.unknown
-    best, back = [0.0], [0]
-    for n in range(1, len(text) + 1):
-        top, at = best[n - 1] + score(text[n - 1], unknown), n - 1
-        for start in range(n - 2, max(-1, n - longest - 1), -1):
-            s = score(text[start:n])
-            if s is not None and best[start] + s >= top:
-                top, at = best[start] + s, start
-        best.append(top)
-        back.append(at)
-    out, end = [], len(text)
-    while end:
-        start = back[end]
-        known = pieces.id.get(text[start:end])
-        out += [known] if known is not None else pieces.unknown_ids(text[start:end])[::-1]
-        end = start
-    return out[::-1]
+    """Ids of the highest-scored segmentation of a normalised text."""
+    search = StreamingViterbi(pieces)
+    out = [i for ids in search.feed(text) for i in ids]
+    return out + search.finish()
+
+
+def in_lanes(pieces: Pieces, words: list[str]) -> list[bytes]:
+    """The search for words of one length in step; little-endian 32-bit ids.
+
+    Pieces are found by hash only: the caller has to see whether the ids spell the word.
+    """
+    size, n = len(words[0]), len(words)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, size).T.astype(np.uint64)
+    longest = min(size, pieces.longest)
+    found = np.full((longest + 1, size, n), -1, dtype=np.int32)
+    score = np.full((longest + 1, size, n), -np.inf)
+    h = np.zeros((size, n), np.uint64)
+    for k in range(1, longest + 1):
+        h = h[: size - k + 1] * _MIX + codes[k - 1 :]
+        hashes, scores, ids = pieces.tables[k]
+        if not len(hashes):
+            continue
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[at] == h
+        found[k, : size - k + 1][hit] = ids[at[hit]]
+        score[k, : size - k + 1][hit] = scores[at[hit]]
+    unknown = found[1] < 0
+    found[1][unknown] = -2 - codes[unknown].astype(np.int32)
+    score[1][unknown] = pieces.unknown
+    best, back = np.zeros((size + 1, n)), np.zeros((size + 1, n), dtype=np.int64)
+    for end in range(1, size + 1):
+        top, back[end] = best[end - 1] + score[1, end - 1], 1
+        for k in range(2, min(longest, end) + 1):
+            other = best[end - k] + score[k, end - k]
+            better = other >= top
+            top[better] = other[better]
+            back[end][better] = k
+        best[end] = top
+    lane, at, steps = np.arange(n), np.full(n, size), []
+    while at.any():
+        k = back[at, lane]
+        start = at - k
+        steps.append(np.where(at > 0, found[k, np.maximum(start, 0), lane], -1))
+        at = np.where(at > 0, start, 0)
+    path = np.array(steps[::-1], dtype=np.int32).T
+    used = path != -1
+    ids, many = path[used], used.sum(axis=1)
+    odd = ids < 0
+    if odd.any():  # bytes in place of unknown characters
+        kinds, which = np.unique(-2 - ids[odd], return_inverse=True)
+        byte = [pieces.unknown_ids(chr(c)) for c in kinds.tolist()]
+        n_bytes = np.ones(len(ids), dtype=np.int64)
+        n_bytes[odd] = np.array([len(x) for x in byte])[which]
+        wide = np.repeat(ids, n_bytes)
+        wide[np.repeat(odd, n_bytes)] = [i for k in which.tolist() for i in byte[k]]
+        many = np.add.reduceat(n_bytes, np.cumsum(many) - many)
+        ids = wide
+    return _cut(ids, many)
+
+
+def _cut(ids: np.ndarray, many: np.ndarray) -> list[bytes]:
+    """ids, joined, as bytes of many[0], many[1] and so on of them."""
+    raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(many)).tolist()
+    return [raw[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
 class Encoder:
@@ -212,51 +269,121 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        #: Own ids, Viterbi ids (little-endian 32-bit numbers), and whether both spell the word, by word.
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
         m = self.pieces.model
         self.head = len(m.encode("\n"))
         byte = {i: bytes([b]) for b, i in self.pieces.byte.items()}
         self.spelling = [byte.get(i, b"" if m.is_control(i) else m.id_to_piece(i).replace(MARK, " ").encode()) for i in range(m.vocab_size())]
-        self.prefix = m.normalize("a").startswith(MARK)
-
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        units = self.pieces.units(word)
-        parts = [self.parts[u] if u in self.parts else self._part(u) for u in units]
-        got = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-        if len(word) <= CACHE_CHARS and len(self.known) < CACHE_WORDS:
-            self.known[word] = got
-        return got
-
-    def _part(self, unit: str) -> tuple[bytes, bytes]:
-        v = viterbi(self.pieces, unit)
-        own = v if self.pieces.unigram else self._merged(unit)
-        got = np.array(own, "<u4").tobytes(), np.array(v, "<u4").tobytes()
-        if len(unit) <= CACHE_CHARS and len(self.parts) < CACHE_WORDS:
-            self.parts[unit] = got
-        return got
-
-    def _merged(self, unit: str) -> list[int]:
-        """The merges' ids; a dummy prefix that the model would add is left out behind a character that no piece holds."""
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """The merges' ids; a prefix that the model would add to a mark alone is left out behind a character that no piece holds."""
         m = self.pieces.model
-        if unit.startswith(MARK) and unit.strip(MARK):
-            return m.encode(unit[1:])
-        return m.encode("\n" + unit.replace(MARK, " "))[self.head :]
+        marks = [i for i, w in enumerate(words) if self.pieces.prefix and not (w.startswith(MARK) and w.strip(MARK))]
+        out = m.encode([w[1:] if self.pieces.prefix and w.startswith(MARK) else w for w in words], num_threads=1)
+        for i in marks:
+            out[i] = m.encode("\n" + words[i])[self.head :]
+        many = np.fromiter(map(len, out), np.int64, len(out))
+        return _cut(np.fromiter(chain.from_iterable(out), np.int64, int(many.sum())), many)
+
+    def _searched(self, words: list[str]) -> list[bytes]:
+        out = [b""] * len(words)
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) <= LANE_CHARS:
+                by_size.setdefault(len(w), []).append(i)
+            else:
+                out[i] = self._streamed(w)
+        for some in by_size.values():
+            for at in range(0, len(some), 2048):
+                part = some[at : at + 2048]
+                for i, ids in zip(part, in_lanes(self.pieces, [words[i] for i in part]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _streamed(self, word: str) -> bytes:
+        return np.array(viterbi(self.pieces, word), "<u4").tobytes()
+
+    def _spells(self, ids: bytes, raw: bytes) -> bool:
+        return b"".join(map(self.spelling.__getitem__, memoryview(ids).cast("I"))) == raw
+
+    def _encoded(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """words: distinct, with blanks for marks."""
+        out = list(map(self.known.get, words))
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            new = [words[i].replace(" ", MARK) for i in at]
+            found = self._searched(new)
+            own = found if self.pieces.unigram else self._merged(new)
+            room = CACHE_WORDS - len(self.known)
+            for i, word, a, v in zip(at, new, own, found, strict=True):
+                raw = words[i].encode("utf-8", "surrogatepass")
+                good = self._spells(v, raw)
+                if not good and len(word) <= LANE_CHARS:  # a hash may have deceived
+                    v = self._streamed(word)
+                    good = self._spells(v, raw)
+                    a = v if self.pieces.unigram else a
+                out[i] = (a, a, good) if a == v else (a, v, good and self._spells(a, raw))
+                if room > 0 and len(word) <= LANE_CHARS:
+                    self.known[words[i]] = out[i]
+                    room -= 1
+        return out
+
+    def _normal(self, texts: pa.Array) -> pa.Array:
+        """Normalised texts with blanks for marks."""
+        if self.pieces.plain:
+            texts = pc.replace_substring(texts, MARK, " ")
+            lead = pc.if_else(pc.equal(texts, ""), "", " ")
+            return pc.binary_join_element_wise(lead, texts, "") if self.pieces.prefix else texts
+        return pa.array([self.pieces.model.normalize(t).replace(MARK, " ") if t else "" for t in texts.to_pylist()], pa.string())
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Own ids and Viterbi ids of a text as little-endian 32-bit numbers."""
-        if not text:
-            return b"", b""
-        normal = self.pieces.model.normalize(text)
-        words = _WORD.findall(normal) if self.pieces.word_starts else [normal]
-        known, word = self.known, self._word
-        got = [known[w] if w in known else word(w) for w in words]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+        own, other, _ = next(self.encode_all([text]))[0]
+        return bytes(own), bytes(other)
+
+    def encode_all(self, texts: list[str | None] | pa.Array) -> Iterator[list[tuple[memoryview, memoryview, bool]]]:
+        """For a few texts at a time: own ids and Viterbi ids of each text, and whether both spell its normalised form."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)] if len(texts) else []
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            normal = self._normal(texts.slice(a, e - a))
+            offsets = np.frombuffer(normal.buffers()[1], np.int32)[normal.offset : normal.offset + len(normal) + 1]
+            data = normal.buffers()[2]
+            raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+            first = np.zeros(offsets[-1] + 1, dtype=bool)
+            first[offsets] = True
+            if self.pieces.word_starts:
+                blank = raw[: offsets[-1]] == 32
+                first[1:-1] |= blank[1:] & ~blank[:-1]
+            first[: offsets[0]] = False
+            first[-1] = True
+            starts = np.flatnonzero(first).astype(np.int32)
+            words = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), data or pa.py_buffer(b"")]).dictionary_encode()
+            got = self._encoded(words.dictionary.to_pylist())
+            at, ends = words.indices.to_numpy(), np.searchsorted(starts, offsets)
+            own, other = (_gathered([g[k] for g in got], at, ends) for k in (0, 1))
+            wrong = np.concatenate(([0], np.cumsum(~np.fromiter((g[2] for g in got), bool, len(got))[at])))[ends]
+            yield list(zip(own, other, (wrong[1:] == wrong[:-1]).tolist(), strict=True))
 
     def decode(self, ids: bytes) -> str:
         """Pieces and bytes put together, the mark as a blank, without the prefix that encoding adds."""
         text = b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if self.pieces.prefix and text.startswith(" ") else text
+
+
+def _gathered(ids: list[bytes], at: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The ids of each text: those of its words (numbers at, from ends[i] to ends[i + 1]) put together."""
+    many = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    first = np.cumsum(many) - many
+    n = many[at]
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    place = np.repeat(first[at] - upto[:-1], n)
+    place += np.arange(len(place))
+    raw = memoryview(np.frombuffer(b"".join(ids), "<u4")[place].tobytes())
+    cuts = (4 * upto[ends]).tolist()
+    return [raw[a:e] for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @cache
@@ -275,15 +402,17 @@ def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = [coder.encode(t) for t in texts]
-            plain = [(t or "").replace(MARK, " ") for t in texts]
-            same = [coder.decode(a) == t and (a == v or coder.decode(v) == t) for (a, v), t in zip(got, plain, strict=True)]
-            own, other = zip(*got, strict=True) if got else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array([f(x) for x in ids], pa.int64()) for ids in (own, other) for f in (lambda x: len(x) // 4, zlib.crc32)], pa.array(same, pa.bool_()), pa.array(own, pa.binary()), pa.array(other, pa.binary())],
-                names=["doc_id", "n_tokens", "ids_crc32", "n_viterbi", "viterbi_crc32", "round_trip", "ids", "viterbi_ids"],
-            )
+            at = 0
+            for got in coder.encode_all(b.column(1)):
+                own, other, same = zip(*got, strict=True)
+                if not coder.pieces.plain:  # the normalised form may differ from the text
+                    texts = [(t or "").replace(MARK, " ") for t in b.column(1).slice(at, len(got)).to_pylist()]
+                    same = [coder.decode(a) == t and coder.decode(v) == t for a, v, t in zip(own, other, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(got)), *[pa.array([f(x) for x in ids], pa.int64()) for ids in (own, other) for f in (lambda x: len(x) // 4, zlib.crc32)], pa.array(same, pa.bool_()), pa.array(own, pa.binary()), pa.array(other, pa.binary())],
+                    names=["doc_id", "n_tokens", "ids_crc32", "n_viterbi", "viterbi_crc32", "round_trip", "ids", "viterbi_ids"],
+                )
+                at += len(got)
 
     schema = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_viterbi bigint, viterbi_crc32 bigint, round_trip boolean, ids binary, viterbi_ids binary"
     return df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
