@@ -39,6 +39,9 @@ GRAM = 32
 REACH = LENGTH - GRAM
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
+#: Windows that are searched at a time, and the bits of a number that hash it; the others hold its place in the block.
+_BLOCK = 1 << 15
+_HASH = np.uint64((1 << 64) - (1 << 16))
 _ENTRY = GRAM + 2 * REACH + 2
 _NO_ID = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,21 +58,33 @@ def _gram_hashes(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places of all windows' anchors in the joined documents x; windows lie within a document."""
-    if len(x) < LENGTH:
+    """Places of all windows' anchors in the joined documents x; windows lie within a document.
+
+    Hash and place are one number, so the least of a window is found by minima alone, block by block in the processor's cache; places
+    of later windows' anchors never come before those of earlier ones.
+    """
+    windows = len(x) - LENGTH + 1
+    if windows < 1:
         return np.empty(0, dtype=np.uint32)
-    least = _gram_hashes(x)
-    at = np.arange(len(least), dtype=np.uint32)
-    for step in (1, 2, 4, 8, REACH + 1 - 16):
-        a, b = least[:-step], least[step:]
-        right = b < a
-        least, at = np.where(right, b, a), np.where(right, at[step:], at[:-step])
     ends = np.cumsum(lengths)
-    inside = np.zeros(len(x) + 1, dtype=np.int32)
-    long = lengths >= LENGTH
-    np.add.at(inside, (ends - lengths)[long], 1)
-    np.add.at(inside, (ends - LENGTH + 1)[long], -1)
-    return np.unique(at[np.cumsum(inside)[: len(at)] > 0])
+    inside = np.zeros(len(x) + 1, dtype=bool)
+    for a, e in zip((ends - lengths)[lengths >= LENGTH].tolist(), (ends - LENGTH + 1)[lengths >= LENGTH].tolist(), strict=True):
+        inside[a:e] = True
+    found = []
+    for at in range(0, windows, _BLOCK):
+        some = inside[at : min(at + _BLOCK, windows)]
+        if not some.any():
+            continue
+        least = _gram_hashes(x[at : at + len(some) + LENGTH - 1])
+        least &= _HASH
+        least |= np.arange(len(least), dtype=np.uint64)
+        for step in (1, 2, 4, 8, REACH + 1 - 16):
+            least = np.minimum(least[:-step], least[step:])
+        found.append((least[some] & ~_HASH).astype(np.uint32) + np.uint32(at))
+    every = np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = every[1:] != every[:-1]
+    return every[new]
 
 
 def chunks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,7 +101,7 @@ def chunks(df: DataFrame, key: str, text: str) -> DataFrame:
             lengths = np.array([len(t) for t in texts], dtype=np.int64)
             at = anchors(x, lengths)
             some = at[:: max(1, len(at) // 32)][:64]
-            prefix = _words(x, some, 8)[:, 0].byteswap() if len(some) else np.empty(0, np.uint64)
+            prefix = _words(x, some, 8)[0].byteswap() if len(some) else np.empty(0, np.uint64)
             ids = np.array([_NO_ID if k is None else k for k in keys], dtype=np.int64)
             known = np.array([k is not None for k in keys], dtype=np.uint8)
             squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -126,27 +141,32 @@ class Chunk:
         self.doc = np.searchsorted(self.ends, self.at, side="right")
 
 
-def _words(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The n bytes at each place as 64-bit words."""
-    return x[np.asarray(at, dtype=np.int64)[:, None] + np.arange(n)].view("<u8")
+def _words(x: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n bytes at each place as 64-bit words, the first words first."""
+    every = np.ndarray((len(x) - 7,), "<u8", x, strides=(1,))
+    at = np.asarray(at, dtype=np.int64)
+    return [every[at + k] for k in range(0, n, 8)]
 
 
-def _sift(c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sift(c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes in order: bucket, 32-bit rest, whether several ids have it; and each anchor's index among them."""
     if not len(c.at):
-        return (*[np.empty(0, np.int64)] * 2, np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64))
-    w = _words(c.x, c.at, GRAM)
-    h = np.zeros(len(w), dtype=np.uint64)
-    for k in range(GRAM // 8):
-        h = (h ^ w[:, k]) * _ODD[k]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+    h = np.zeros(len(c.at), dtype=np.uint64)
+    for k, w in enumerate(_words(c.x, c.at, GRAM)):
+        h = (h ^ w) * _ODD[k]
         h ^= h >> np.uint64(31)
     bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     code = (bucket << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    distinct, which = np.unique(code, return_inverse=True)
-    low, high = np.full(len(distinct), _NO_ID), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, c.keys[c.doc])
-    np.maximum.at(high, which, c.keys[c.doc])
-    return distinct >> 32, (distinct & 0xFFFFFFFF).astype(np.uint32), low < high, which, distinct
+    order = np.argsort(code)
+    ordered = code[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    begins = np.flatnonzero(new)
+    which = np.empty(len(code), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    keys, distinct = c.keys[c.doc][order], ordered[begins]
+    return distinct >> 32, (distinct & 0xFFFFFFFF).astype(np.uint32), np.minimum.reduceat(keys, begins) < np.maximum.reduceat(keys, begins), which
 
 
 def _open(t: pa.Table | pa.RecordBatch, i: int = 0) -> Chunk:
@@ -159,7 +179,7 @@ def shared_anchors(stored: DataFrame, buckets: int) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                bucket, rest, several, _, _ = _sift(_open(b, i), buckets)
+                bucket, rest, several, _ = _sift(_open(b, i), buckets)
                 present = np.unique(bucket)
                 lo, hi = np.searchsorted(bucket, present), np.searchsorted(bucket, present, side="right")
                 body = [rest[a:e].astype("<u4").tobytes() + several[a:e].astype(np.uint8).tobytes() for a, e in zip(lo.tolist(), hi.tolist(), strict=True)]
@@ -188,7 +208,7 @@ class Entries:
     """A chunk's distinct candidate suffixes in order, the least id of each, and its candidate anchors' entries."""
 
     def __init__(self, c: Chunk, bits: dict[int, bytes], buckets: int) -> None:
-        bucket, _, _, which, _ = _sift(c, buckets)
+        bucket, _, _, which = _sift(c, buckets)
         dup = np.zeros(len(bucket), dtype=bool)
         for b, raw in bits.items():
             a, e = np.searchsorted(bucket, b), np.searchsorted(bucket, b, side="right")
@@ -410,25 +430,24 @@ def _cut(c: Chunk, e: Entries, bodies: dict[int, bytes], splitters: np.ndarray)
     mask = np.zeros(len(e.rows), dtype=np.uint32)
     for part, a, b in e.ranges(splitters):
         mask[a:b] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bodies[part]), "<u4")
-    cover = np.zeros(len(c.x) + 1, dtype=np.int32)
+    window = np.zeros(len(c.x), dtype=bool)
     if len(e.at):
         later = c.keys[e.doc] > e.least[e.entry]
         own = np.where(later, np.uint32(_ALL), mask[e.entry])
         for o in range(REACH + 1):
             hit = (own >> np.uint32(o) & 1).astype(bool) & (o <= e.left) & (REACH - o <= e.right)
-            start = e.at[hit] - o
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + LENGTH, -1)
-    gone = np.cumsum(cover)[:-1] > 0
+            window[e.at[hit] - o] = True
+    seen = np.cumsum(window, dtype=np.int32)
+    gone = seen > np.concatenate((np.zeros(min(LENGTH, len(seen)), np.int32), seen[:-LENGTH]))
     starts = c.ends - c.lengths
-    edge = np.zeros(len(c.x), dtype=bool)
-    edge[starts[c.lengths > 0]] = True
-    begins = np.flatnonzero(gone & (edge | ~np.concatenate(([False], gone[:-1])))) if len(gone) else np.empty(0, np.int64)
-    last = np.concatenate((edge[1:] | ~gone[1:], [True])) if len(gone) else np.empty(0, bool)
-    finishes = np.flatnonzero(gone & last) + 1
+    # runs end where documents do
+    cut = np.zeros(len(c.x) + 1, dtype=bool)
+    cut[starts] = cut[-1] = True
+    on = np.concatenate((gone, [False]))
+    begins = np.flatnonzero(gone & (cut[:-1] | ~np.concatenate(([False], gone[:-1])))) if len(gone) else np.empty(0, np.int64)
+    finishes = np.flatnonzero(gone & (cut[1:] | ~on[1:])) + 1
     lo, hi = np.searchsorted(begins, starts), np.searchsorted(begins, c.ends)
-    hi = np.maximum(lo, hi)
-    removed = np.concatenate(([0], np.cumsum(gone)))
+    removed = np.concatenate(([0], np.cumsum(gone, dtype=np.int32)))
     out: dict[str, list] = {"spans": [], "sha": []}
     raw = c.x.tobytes()
     for s, t, a, b in zip(starts.tolist(), c.ends.tolist(), lo.tolist(), hi.tolist(), strict=True):
