@@ -16,13 +16,14 @@ segment has one of its own.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -124,26 +125,51 @@ class Encoder:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         out = list(map(self.words.get, words))
-        new = [w for w, x in zip(words, out, strict=True) if x is None]
-        lone = {w: w.lower() for w in new if w.isascii() and w.isalpha()}
-        cut = {w: _UNITS.findall(w.lower()) for w in new if w not in lone and "<|" not in w and _PLAIN.fullmatch(w)}
-        fresh = self._ask([u for u in set(lone.values()).union(*cut.values()) if u not in self.units])
-        units = ChainMap(fresh, self.units) if fresh else self.units
-        if len(self.units) + len(fresh) <= CACHE_WORDS:
-            self.units.update(fresh)
-            units = self.units
-        found = {w: units[u] for w, u in lone.items()}
-        found |= {w: b"".join([units[u] for u in c]) for w, c in cut.items()}
-        if len(found) < len(new):
-            found |= self._ask_marked([w for w in new if w not in found])
-        if len(self.words) + len(found) <= CACHE_WORDS:
-            self.words.update(found)
-        return [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
+        new = [i for i, x in enumerate(out) if x is None]
+        if not new:
+            return out
+        whole, cut, odd = [], [], []  # (number, unit), (number, units), numbers
+        units, plain, wanted = self.units, _PLAIN.fullmatch, set()
+        for i in new:
+            w = words[i]
+            if not plain(w) or "<|" in w:
+                odd.append(i)
+                continue
+            low = w.lower()
+            if low.isalpha():
+                whole.append((i, low))
+                if low not in units:
+                    wanted.add(low)
+                continue
+            some = [low[:-1], low[-1]] if low[-1] in ".,;:!?" and low[:-1].isalpha() else _UNITS.findall(low)
+            cut.append((i, some))
+            wanted.update([u for u in some if u not in units])
+        fresh = self._ask(list(wanted))
+        room = CACHE_WORDS - len(units)
+        if len(fresh) <= room:
+            units.update(fresh)
+        else:
+            units.update(islice(fresh.items(), room))
+        known, get = units.get, fresh.get
+        for i, u in whole:
+            x = get(u)
+            out[i] = known(u) if x is None else x
+        for i, some in cut:
+            out[i] = b"".join([known(u) if (x := get(u)) is None else x for u in some])
+        if odd:
+            asked = self._ask_marked([words[i] for i in odd])
+            for i in odd:
+                out[i] = asked[words[i]]
+        for i in new[: max(0, CACHE_WORDS - len(self.words))]:
+            self.words[words[i]] = out[i]
+        return out
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for a worker process, kept from task to task."""
+    """One encoder for a worker process, kept from task to task. A core has one worker, so the library needs no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    pa.set_memory_pool(pa.system_memory_pool())
     return Encoder(path)
 
 
@@ -245,33 +271,49 @@ def write(df: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text:
                 keys = b.column(0).slice(at, len(bounds_of) - 1)
                 at += len(keys)
                 part = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
-                ids = [raw[i:j].tobytes() + end for i, j in zip(bounds_of[:-1].tolist(), bounds_of[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=["k", "range", "ids"])
+                ids = np.frombuffer(raw, "<u4")
+                if end:
+                    ids = np.insert(ids, bounds_of[1:] // 4, np.uint32(end_id))
+                    bounds_of = bounds_of + 4 * np.arange(len(bounds_of))
+                column = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(bounds_of.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(part, pa.int32()), column], names=["k", "range", "ids"])
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(encode, "k bigint, range int, ids binary")
     ordered = rows.repartition(n, "range").sortWithinPartitions("range", F.col("k").asc_nulls_first(), "ids")
 
     def pack_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, seq, keys, parts, tokens = None, 0, [], [], 0
+        here, seq, tokens = None, 0, 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # keys, counts and ids of whole documents
 
         def flush() -> pa.RecordBatch:
-            counts = np.array([len(p) // 4 for p in parts])
-            data = pack_segment(np.array([k or 0 for k in keys]), np.array([k is not None for k in keys]), counts, np.frombuffer(b"".join(parts), "<u4"))
+            keys = pa.concat_arrays([h[0] for h in held])
+            counts, ids = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            data = pack_segment(keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False), counts, ids)
             return pa.RecordBatch.from_pydict({"range": pa.array([here], pa.int32()), "segment": pa.array([seq], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for b in batches:
-            for k, r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if keys and (r != here or tokens + len(x) // 4 > SEGMENT_TOKENS):
+            ranges = b.column(1).to_numpy()
+            column = b.column(2)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+            ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: 4 * int(offsets[-1])].view("<u4") if len(column) else None
+            at = 0
+            while at < b.num_rows:
+                r = int(ranges[at])
+                if held and (r != here or tokens + int(offsets[at + 1] - offsets[at]) > SEGMENT_TOKENS):
                     yield flush()
                     seq = seq + 1 if r == here else 0
-                    keys, parts, tokens = [], [], 0
+                    held, tokens = [], 0
                 elif r != here:
                     seq = 0
                 here = r
-                keys.append(k)
-                parts.append(x)
-                tokens += len(x) // 4
-        if keys:
+                # as many documents as the segment has room for, one at least
+                last = int(np.searchsorted(ranges, r, side="right"))
+                upto = min(last, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SEGMENT_TOKENS - tokens, side="right")) - 1))
+                # copies, so that a few held documents don't keep a batch
+                held.append((pa.array(b.column(0).slice(at, upto - at).to_pylist(), pa.int64()), np.diff(offsets[at : upto + 1]).astype(np.int64), ids[offsets[at] : offsets[upto]].copy()))
+                tokens += len(held[-1][2])
+                at = upto
+        if held:
             yield flush()
 
     ordered.mapInArrow(pack_ranges, "range int, segment int, n_docs bigint, n_tokens bigint, data binary").write.parquet(path)
