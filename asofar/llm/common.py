@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import itertools
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,39 +19,47 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: A dimension table of at most this many rows may be broadcast; larger ones are joined by shuffles.
 BROADCAST_ROWS = 2000
 
-_DEFAULT_SHARED = "/tmp/checkpoints/asofar"
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[tuple[int, SparkSession, str]] = []
+_number = itertools.count(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes its warehouse's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        spark.conf.set("spark.checkpoint.dir", _DEFAULT_SHARED)
-        found = _DEFAULT_SHARED
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at exit if not before. It names the application, so what a killed driver leaves can be told."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((next(_number), spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_mark() -> int:
-    return len(_scratch)
+    """What release() takes to spare all that has been written so far."""
+    return next(_number)
 
 
 def release(since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
     """Delete scratch tables written after a mark, but for those that the kept frames read."""
-    held = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
-    for spark, path in list(_scratch[since:]):
+    held = {part for df in keep for f in df.inputFiles() for part in f.split("/")}
+    for entry in [x for x in _scratch if x[0] > since]:
+        _, spark, path = entry
         if path.rsplit("/", 1)[-1] in held:
             continue
-        _scratch.remove((spark, path))
+        _scratch.remove(entry)
         jvm = spark.sparkContext._jvm
         if jvm is None:
             continue
@@ -56,8 +67,14 @@ def release(since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def finished(df: DataFrame, since: int) -> DataFrame:
+    """df, after the scratch tables since a mark that it doesn't read have gone."""
+    release(since, [df])
+    return df
+
+
 def _at_exit() -> None:
-    for spark, _ in _scratch[:1]:
+    for _, spark, _ in _scratch[:1]:
         if spark.sparkContext._jsc is None:
             return
     try:
@@ -69,6 +86,14 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def give_back() -> None:
+    """Return what a worker's allocators keep free to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many pieces a keyed exchange gets: the session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -33,12 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 MARK = "▁"
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 #: Longer words stream, and aren't remembered.
 LANE_CHARS = 64
 #: Texts are taken in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: New words are searched so many at a time.
+WORDS_AT_ONCE = 1 << 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -310,8 +314,9 @@ class Encoder:
     def _encoded(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """words: distinct, with blanks for marks."""
         out = list(map(self.known.get, words))
-        at = [i for i, x in enumerate(out) if x is None]
-        if at:
+        missing = [i for i, x in enumerate(out) if x is None]
+        for start in range(0, len(missing), WORDS_AT_ONCE):
+            at = missing[start : start + WORDS_AT_ONCE]
             new = [words[i].replace(" ", MARK) for i in at]
             found = self._searched(new)
             own = found if self.pieces.unigram else self._merged(new)
@@ -344,11 +349,11 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None] | pa.Array) -> Iterator[list[tuple[memoryview, memoryview, bool]]]:
         """For a few texts at a time: own ids and Viterbi ids of each text, and whether both spell its normalised form."""
-        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)] if len(texts) else []
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            normal = self._normal(texts.slice(a, e - a))
+            normal = self._normal(pc.fill_null(texts.slice(a, e - a), ""))
             offsets = np.frombuffer(normal.buffers()[1], np.int32)[normal.offset : normal.offset + len(normal) + 1]
             data = normal.buffers()[2]
             raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
@@ -388,7 +393,8 @@ def _gathered(ids: list[bytes], at: np.ndarray, ends: np.ndarray) -> list[memory
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for a worker process, kept from task to task."""
+    """One encoder for a worker process, kept from task to task; big buffers are given back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
     return Encoder(path)
 
 
@@ -413,6 +419,8 @@ def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text:
                     names=["doc_id", "n_tokens", "ids_crc32", "n_viterbi", "viterbi_crc32", "round_trip", "ids", "viterbi_ids"],
                 )
                 at += len(got)
+                del got, own, other, same
+                give_back()
 
     schema = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_viterbi bigint, viterbi_crc32 bigint, round_trip boolean, ids binary, viterbi_ids binary"
     return df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)

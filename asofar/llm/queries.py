@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact, mixing, pieces, pii, quality, simhash, suffixes, tokens, urls, warc
+from .common import finished, scratch_mark
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +78,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, which leaves only those scratch tables that its result reads."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mark = scratch_mark()
+        return finished(query(spark, sf_dir), mark)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op4_warc_fixity, op5_exact_dedup, op6_token_files, op7_sentencepiece, op8_personal_data, op9_repeated_passages, op10_url_filter, pipeline)}
+    return {f.__name__: _tidy(f) for f in (op1_quality_rules, op2_simhash_dedup, op3_mix_sources, op4_warc_fixity, op5_exact_dedup, op6_token_files, op7_sentencepiece, op8_personal_data, op9_repeated_passages, op10_url_filter, pipeline)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

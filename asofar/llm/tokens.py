@@ -19,7 +19,6 @@ import gc
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _scratch, parallelism, shared_dir
+from .common import parallelism, scratch_path
 
 CHUNK_BITS = 8
 BLOCK = 512
@@ -350,7 +349,6 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def round_trip(df: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files in the shared folder and reads them back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    path = scratch_path(spark, "token-files")
     write(df, path, vocabulary or default_vocabulary(), key, text)
     return read(spark, path)

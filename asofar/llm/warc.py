@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _scratch, materialize, parallelism, shared_dir
+from .common import materialize, parallelism, scratch_path
 
 FILE_RECORDS = 256
 FANOUT = 16
@@ -184,8 +183,7 @@ def fixity(df: DataFrame, rot: Callable[[bytes], bool] | None, key: str = "page_
     Writes the pages as WARC, copies them to a second replica (with faults where rot chooses) and audits one against the other.
     """
     spark = df.sparkSession
-    paths = [f"{shared_dir(spark)}/warc-{side}-{uuid.uuid4().hex}" for side in "ab"]
-    _scratch.extend((spark, p) for p in paths)
+    paths = [scratch_path(spark, f"warc-{side}") for side in "ab"]
     write(df, paths[0], key, url, body)
     replicate(read(spark, paths[0]), paths[1], rot)
     nodes, damaged = audit(read(spark, paths[0]), read(spark, paths[1]))
