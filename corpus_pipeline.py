@@ -6,13 +6,12 @@ the last return the columns of documents. Texts are whole, and each stage works
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from asofar.llm import exact, mixing, pieces, quality, simhash
-from asofar.llm.common import _scratch, release, shared_dir
+from asofar.llm.common import materialize, release, scratch_mark
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages' result over documents, each stage written in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = scratch_mark()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        _scratch.append((spark, path))
-        docs = spark.read.parquet(path)
-        release(keep=[docs])
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(mark, [docs])
     return docs
