@@ -108,3 +108,13 @@ def calendar_index(ts: Column, unit: str) -> Column:
 
 def truncate(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit.lower(), ts.cast("timestamp")).cast("timestamp_ntz")
+
+
+def add_months(ts: Column, n: Any) -> Column:
+    """n months later (earlier, if negative) at the same time of day; the last day of shorter months."""
+    n = n if isinstance(n, Column) else F.lit(int(n))
+    return ts.cast("timestamp_ntz") + F.make_ym_interval(F.lit(0), n)
+
+
+def formatted(ts: Column, fmt: str) -> Column:
+    return F.date_format(ts.cast("timestamp_ntz"), fmt)

@@ -104,5 +104,39 @@ class FeatureList:
         when = F.lit(at).cast("timestamp_ntz") if at is not None else F.current_timestamp().cast("timestamp_ntz")
         return self.compute_historical_features(entities.withColumn(PIT, when)).drop(PIT)
 
+    def compute_in_batches(self, request: DataFrame, path: str, size: int = 20) -> DataFrame:
+        """As compute_historical_features, with a plan for each few features: results are written under path and joined on the request's row numbers.
+
+        The request is written with its numbers first, so they are the same for every batch, also after executors are lost.
+        """
+        number = "__row_index"
+        spark = request.sparkSession
+        request.withColumn(number, F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/request")
+        numbered = out = spark.read.parquet(f"{path}/request")
+        for k, some in enumerate(self.batches(size)):
+            got = some.compute_historical_features(numbered).select(number, *[f.name or "feature" for f in some.features])
+            got.write.mode("overwrite").parquet(f"{path}/batch-{k}")
+            out = out.join(spark.read.parquet(f"{path}/batch-{k}"), number, "left")
+        return out.drop(number)
+
+    def ingest(self, entities: DataFrame, at: Any) -> dict[tuple[str, ...], DataFrame]:
+        """What can be computed ahead, by keys: the aggregations and lookups of the features for entities as of a time, without expressions over them."""
+        groups: dict[tuple[str, ...], list[AnyLeaf]] = {}
+        for x in dict.fromkeys(x for f in self.features for x in f.leaves):
+            groups.setdefault(x.serving, []).append(x)
+        when = F.lit(at).cast("timestamp_ntz")
+        out = {}
+        for serving, leaves in groups.items():
+            asked = entities.select(*serving).dropna().distinct().withColumn(PIT, when)
+            out[serving] = Planner(asked).attach(leaves).select(*serving, *[x.column for x in leaves])
+        return out
+
+    def serve(self, stored: dict[tuple[str, ...], DataFrame], request: DataFrame) -> DataFrame:
+        """On demand: the features' expressions over what ingest() stored and the columns of the request, which may hold a point in time."""
+        out = request
+        for serving, table in stored.items():
+            out = out.join(table, list(serving), "left")
+        return out.select(*[F.col(f"`{c}`") for c in request.columns], *[f.col.alias(f.name or "feature") for f in self.features])
+
     def batches(self, size: int = 20) -> list[FeatureList]:
         return [FeatureList(self.features[i : i + size]) for i in range(0, len(self.features), size)]

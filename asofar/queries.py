@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import countdict, numeric, temporal, text, vector
+from .functions.custom import Parameter, UserDefinedFunction
 from .operators import cleaning, joins, profile
 from .plans.features import Feature, FeatureList, point_in_time, request_column
 from .plans.jobs import CalendarWindow, CronSchedule, Schedule
-from .sources import sinks, tables
+from .sources import requests, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -563,3 +564,207 @@ def tiles(spark, d):
 @query("SELECT user_id, max(event_id) AS last_id FROM events GROUP BY 1")
 def latest_features(spark, d):
     return sinks.latest_features(load(spark, d, "events").select("user_id", F.col("event_id").alias("last_id")), ["user_id"], "last_id")
+
+
+# User-defined and on-demand functions, request tables, offline tables.
+@query(f"""{_hits(7 * 86400)}, a AS (SELECT rid, sum(value) AS s FROM h GROUP BY rid)
+SELECT r.event_id, round(ln(1 + abs(coalesce(a.s, 0)) * 2), 6) AS x FROM r LEFT JOIN a ON a.rid = r.event_id""")
+def user_defined_function_on_feature(spark, d):
+    f = UserDefinedFunction(spark, "asofar_scaled_log", [Parameter("x", "double", test=1.0), Parameter("k", "double", default=2.0, test=2.0)], "double", "ln(1 + abs(coalesce(x, 0)) * k)")
+    s = _event_view(spark, d).groupby("user_id").aggregate_over("value", "sum", ["7d"], ["s"], _JOB)["s"]
+    return _computed(_requests(spark, d), [f(s).alias("x")], ["event_id"], lambda c: F.round(c, 6))
+
+
+@query("SELECT p_partkey, round(p_retailprice * 0.9 + p_size, 4) AS price, reverse(p_brand) AS code FROM part")
+def user_defined_function_on_column(spark, d):
+    """One function of our own, one that the session has."""
+    price = UserDefinedFunction(spark, "asofar_price", [Parameter("p", "double"), Parameter("size", "double")], "double", "p * 0.9 + size")
+    back = UserDefinedFunction(spark, "asofar_back", [Parameter("t", "string")], "string", function="reverse")
+    v = tables.DimensionTable(load(spark, d, "part"), "p_partkey").get_view()
+    return v.df.select("p_partkey", F.round(price(v["p_retailprice"], size=v["p_size"]).col, 4).alias("price"), back(v["p_brand"]).col.alias("code"))
+
+
+@query("""WITH w AS (SELECT floor((epoch(TIMESTAMP '2024-01-20 12:00:00') - 300) / 3600) * 3600 + 300 - 900 AS w1),
+a AS (SELECT user_id, round(sum(value), 4) AS s, count(*) AS n FROM events, w WHERE epoch(ts) >= w1 - 604800 AND epoch(ts) < w1 GROUP BY user_id)
+SELECT e.event_id, round(a.s / nullif(e.event_id % 5, 0), 4) AS per_unit, coalesce(a.n, 0) + hour(e.ts) AS n FROM events e LEFT JOIN a ON a.user_id = e.user_id""")
+def on_demand_features(spark, d):
+    """Aggregations are stored; expressions with columns of the request are computed when it comes."""
+    e = load(spark, d, "events")
+    v = tables.EventTable(e, "event_id", "ts").get_view()
+    g = v.groupby("user_id")
+    s, n = g.aggregate_over("value", "sum", ["7d"], ["s"], _JOB)["s"], g.aggregate_over(None, "count", ["7d"], ["n"], _JOB, skip_fill_na=False)["n"]
+    fl = FeatureList([(s / request_column("units", "bigint")).alias("per_unit"), (n + request_column("ts", "timestamp_ntz").dt.hour).alias("n")])
+    stored = fl.ingest(e.select("user_id"), "2024-01-20 12:00:00")
+    out = fl.serve(stored, e.select("event_id", "user_id", "ts", (F.col("event_id") % 5).alias("units")))
+    return out.select("event_id", F.round("per_unit", 4).alias("per_unit"), F.col("n").cast("bigint").alias("n"))
+
+
+@query(f"""{_hits(7 * 86400)}, a AS (SELECT rid, round(sum(value), 4) AS s, round(max(value), 4) AS m, count(*) AS n FROM h GROUP BY rid)
+SELECT r.event_id, a.s, a.m, a.n FROM r LEFT JOIN a ON a.rid = r.event_id""")
+def feature_batches(spark, d):
+    """A plan for each two features; results meet on the request's row numbers."""
+    g = _event_view(spark, d).groupby("user_id")
+    fs = [g.aggregate_over("value", "sum", ["7d"], ["s"], _JOB)["s"], g.aggregate_over("value", "max", ["7d"], ["m"], _JOB)["m"], g.aggregate_over(None, "count", ["7d"], ["n"], _JOB)["n"]]
+    out = FeatureList(fs).compute_in_batches(_requests(spark, d), sinks.workspace(spark, "batches"), 2)
+    return out.select("event_id", _rounded(F.col("s")).alias("s"), _rounded(F.col("m")).alias("m"), "n")
+
+
+@query("""SELECT event_id, hour(ts + INTERVAL 36 HOUR + INTERVAL 9 HOUR) AS local_hour, round(36.0 / 24, 6) AS days, CAST(floor((epoch(ts + INTERVAL 45 HOUR) / 86400 + 3) / 7) AS BIGINT) AS week,
+isodow(ts + INTERVAL 45 HOUR) - 1 AS weekday FROM events""")
+def forecast_point_features(spark, d):
+    """Forecast points as texts in UTC, read in a column's time zone."""
+    e = load(spark, d, "events").withColumn("FORECAST_POINT", temporal.formatted(temporal.add(F.col("ts"), 36 * 3_600_000_000), "yyyy/MM/dd HH:mm:ss.SSSSSS")).withColumn("zone", F.lit("Asia/Tokyo"))
+    p = requests.ForecastPoint("WEEK", fmt="yyyy/MM/dd HH:mm:ss.SSSSSS", timezone_column="zone")
+    fs = [p.local().dt.hour.alias("local_hour"), p.until("day").alias("days"), p.index().alias("week"), p.local().dt.day_of_week.alias("weekday")]
+    out = FeatureList(fs).compute_historical_features(e.withColumnRenamed("ts", "POINT_IN_TIME"))
+    return out.select("event_id", F.col("local_hour").cast("bigint").alias("local_hour"), F.round("days", 6).alias("days"), "week", F.col("weekday").cast("bigint").alias("weekday"))
+
+
+_OBS = """o AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'view' THEN 4.0 ELSE 1.0 END AS row_weight FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'
+AND CAST('0x' || substr(md5(event_id || '_1234'), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN event_type = 'view' THEN 0.25 ELSE 1.0 END)"""
+
+
+def _observations(spark, d):
+    return requests.observation_table(load(spark, d, "events"), ["user_id"], "ts", "2024-01-05", "2024-01-20", ["event_id"], "event_type", {"view": 0.25}, ["event_id"])
+
+
+@query(f"WITH {_OBS} SELECT event_id, user_id, event_type, row_weight, CAST(epoch_us(ts) AS BIGINT) AS at FROM o")
+def observation_table(spark, d):
+    return _observations(spark, d).df.select("event_id", "user_id", "event_type", "row_weight", temporal.micros(F.col("POINT_IN_TIME")).alias("at"))
+
+
+@query(f"""WITH {_OBS} SELECT CAST(epoch_us(min(ts)) AS BIGINT) AS first, CAST(epoch_us(max(ts)) AS BIGINT) AS last, count(*) AS rows, min(gap) AS least_gap, count(DISTINCT user_id) AS n_user_id
+FROM (SELECT *, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) AS BIGINT) AS gap FROM o)""")
+def observation_table_stats(spark, d):
+    s = _observations(spark, d).stats
+    return s.select(temporal.micros(F.col("first")).alias("first"), temporal.micros(F.col("last")).alias("last"), "rows", "least_gap", "n_user_id")
+
+
+def _daily_counts(spark, d):
+    f = _event_view(spark, d).groupby("user_id").aggregate_over(None, "count", ["7d"], ["n"], _JOB, skip_fill_na=False)["n"]
+    asked = requests.batch_request_table(load(spark, d, "events"), ["user_id"])
+    return lambda at: FeatureList([f]).compute_online_features(asked, at)
+
+
+def _counts_sql(at: str) -> str:
+    end = f"floor((epoch(TIMESTAMP '{at}') - 300) / 3600) * 3600 + 300 - 900"
+    return f"SELECT u.user_id, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN events e ON e.user_id = u.user_id AND epoch(e.ts) >= {end} - 604800 AND epoch(e.ts) < {end} GROUP BY u.user_id"
+
+
+@query(f"SELECT '2024-01-10' AS snapshot, * FROM ({_counts_sql('2024-01-10 12:00:00')}) UNION ALL SELECT '2024-01-20', * FROM ({_counts_sql('2024-01-20 12:00:00')})")
+def batch_feature_table(spark, d):
+    """Overwritten by a first snapshot, then appended to; a snapshot that is run again is not doubled."""
+    counts, path = _daily_counts(spark, d), sinks.workspace(spark, "batch")
+    sinks.write_batch(counts("2024-01-01 12:00:00"), path, "2024-01-01", "overwrite")
+    sinks.write_batch(counts("2024-01-10 12:00:00"), path, "2024-01-10", "overwrite")
+    for _ in range(2):
+        out = sinks.write_batch(counts("2024-01-20 12:00:00"), path, "2024-01-20")
+    return out.select(F.col("snapshot").cast("string").alias("snapshot"), "user_id", "n")
+
+
+@query(f"""SELECT '2024-01-10 12:00:00' AS at, a.user_id, a.n, CAST(NULL AS BIGINT) AS twice FROM ({_counts_sql('2024-01-10 12:00:00')}) a
+UNION ALL SELECT '2024-01-20 12:00:00', a.user_id, a.n, 2 * a.n FROM ({_counts_sql('2024-01-20 12:00:00')}) a""")
+def offline_feature_table(spark, d):
+    """Appended twice at one time, which counts once, and a column added for the later time."""
+    counts = _daily_counts(spark, d)
+    t = sinks.OfflineTable(spark, sinks.workspace(spark, "offline"), ["user_id"])
+    for at in ("2024-01-10 12:00:00", "2024-01-20 12:00:00", "2024-01-20 12:00:00"):
+        t.append(counts(at), at)
+    new = counts("2024-01-20 12:00:00").select("user_id", (2 * F.col("n")).alias("twice"), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz").alias("feature_timestamp"))
+    t.add_columns(new)
+    return t.read().select(temporal.formatted(F.col("feature_timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at"), "user_id", "n", "twice")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-20 06:00:00'")
+def entity_universe(spark, d):
+    g = _event_view(spark, d).groupby("user_id")
+    fs = [g.aggregate_over("value", "sum", ["7d"], ["s"], _JOB)["s"], g.aggregate_over(None, "count", ["1d"], ["n"], _JOB)["n"]]
+    return requests.entity_universe(fs, "2024-01-20", "2024-01-20 06:00:00")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-10 04:00:00' AND value > 50")
+def development_dataset(spark, d):
+    """A table declared over all events, features of which are explored on a part of them."""
+    t = tables.EventTable(_events(spark, d), "event_id", "ts").developed(load(spark, d, "events").filter("value > 50").drop("props"))
+    f = t.get_view().groupby("user_id").aggregate_over("value", "sum", ["7d"], ["s"], _JOB)["s"]
+    return requests.entity_universe([f], "2024-01-10", "2024-01-10 04:00:00")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 3 MONTH, '%Y/%m/%d %H') AS quarter_before, strftime(o_orderdate + INTERVAL 1 MONTH, '%d.%m.%Y') AS month_after, CAST(epoch(date_trunc('month', o_orderdate)) AS BIGINT) AS month_start FROM orders")
+def timestamp_arithmetic(spark, d):
+    t = F.col("o_orderdate")
+    return load(spark, d, "orders").select("o_orderkey", temporal.formatted(temporal.add_months(t, -3), "yyyy/MM/dd HH").alias("quarter_before"), temporal.formatted(temporal.add_months(t, 1), "dd.MM.yyyy").alias("month_after"), temporal.epoch(temporal.truncate(t, "month")).alias("month_start"))
+
+
+_SERIES = "s AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2), q AS (SELECT event_id, user_id, ts FROM events)"
+
+
+def _series(spark, d):
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("day")
+    return load(spark, d, "events").groupBy("user_id", day).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+_UNTIL = "CAST(date_trunc('day', CASE WHEN q.ts > date_trunc('day', q.ts) + INTERVAL 150 MINUTE THEN date_trunc('day', q.ts) + INTERVAL 150 MINUTE ELSE date_trunc('day', q.ts) - INTERVAL 1 DAY + INTERVAL 150 MINUTE END - INTERVAL 1 HOUR) AS TIMESTAMP)"
+
+
+@query(f"""WITH {_SERIES}, u AS (SELECT *, {_UNTIL} AS until FROM q),
+a AS (SELECT u.event_id, round(avg(s.total), 4) AS x FROM u JOIN s ON s.user_id = u.user_id AND s.day >= until - INTERVAL 3 DAY AND s.day < until GROUP BY 1) SELECT q.event_id, a.x FROM q LEFT JOIN a USING (event_id)""")
+def time_series_window(spark, d):
+    g = tables.TimeSeriesTable(_series(spark, d), "user_id", "day").get_view().groupby("user_id")
+    req = load(spark, d, "events").select("event_id", "user_id", F.col("ts").alias("POINT_IN_TIME"))
+    return _computed(req, [g.aggregate_over("total", "avg", [CalendarWindow("DAY", 3)], ["x"], _DAILY)["x"]], ["event_id"], _rounded)
+
+
+@query(f"""WITH {_SERIES}, u AS (SELECT *, {_UNTIL} AS until FROM q),
+a AS (SELECT u.event_id, max(s.n) AS x FROM u JOIN s ON s.user_id = u.user_id AND s.day >= until - INTERVAL 6 DAY AND s.day < until - INTERVAL 1 DAY GROUP BY 1) SELECT q.event_id, a.x FROM q LEFT JOIN a USING (event_id)""")
+def snapshots_window_offset(spark, d):
+    g = tables.SnapshotsTable(_series(spark, d), "user_id", "day").get_view().groupby("user_id")
+    req = load(spark, d, "events").select("event_id", "user_id", F.col("ts").alias("POINT_IN_TIME"))
+    return _computed(req, [g.aggregate_over("n", "max", [CalendarWindow("DAY", 5)], ["x"], _DAILY, offset=CalendarWindow("DAY", 1))["x"]], ["event_id"])
+
+
+@query(f"""WITH {_E}, c AS (SELECT user_id, coalesce(event_type, '__MISSING__') AS k, count(*) AS v FROM e GROUP BY 1, 2)
+SELECT user_id, count(*) AS all_keys, count(*) FILTER (k <> '__MISSING__') AS keys, max(v)::DOUBLE AS most FROM c GROUP BY user_id""")
+def dictionary_missing_key(spark, d):
+    c = _events(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("v")).groupBy("user_id").agg(countdict.from_rows(F.col("event_type"), F.col("v")).alias("m"))
+    m = F.col("m")
+    return c.select("user_id", countdict.unique_count(m).alias("all_keys"), countdict.unique_count(m, False).alias("keys"), countdict.highest_value(m).alias("most"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS number, CASE WHEN event_id % 3 = 0 THEN '-1' ELSE CAST(user_id AS VARCHAR) END AS told, CAST(floor(epoch(ts)) AS BIGINT) - 9 * 3600 AS at FROM events""")
+def cleaning_casts(spark, d):
+    """Texts that aren't numbers, texts as numbers, and texts in a zone as timestamps."""
+    e = load(spark, d, "events")
+    said = F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("user_id").cast("string"))
+    raw = e.select("event_id", "ts", said.alias("number"), said.alias("told"), temporal.formatted(F.col("ts"), "dd.MM.yyyy HH:mm:ss").alias("at"))
+    ops = {"number": [cleaning.CastToNumeric()], "told": [cleaning.StringValue("-1")], "at": [cleaning.ParseTimestamp("dd.MM.yyyy HH:mm:ss", "Asia/Tokyo")]}
+    v = tables.EventTable(raw, "event_id", "ts", cleaning=ops).get_view()
+    return v.df.select("event_id", "number", "told", temporal.epoch(F.col("at")).alias("at"))
+
+
+@query("""WITH v AS (SELECT vec_id % 40 AS k, vec_id, embedding, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(vec_id % 97 AS INT) AS ts FROM embeddings), q AS (SELECT DISTINCT k FROM v),
+x AS (SELECT k, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM v WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04')
+SELECT q.k, i - 1 AS i, round(max(x), 4) AS v FROM q JOIN x USING (k) GROUP BY 1, 2""")
+def vector_window_max(spark, d):
+    """Vectors within a window, element by element."""
+    e = load(spark, d, "embeddings").select((F.col("vec_id") % 40).alias("k"), "vec_id", "embedding", temporal.add(F.lit("2024-01-01").cast("timestamp_ntz"), (F.col("vec_id") % 97) * 3_600_000_000).alias("ts"))
+    f = tables.EventTable(e, "vec_id", "ts").get_view().groupby("k").aggregate_over("embedding", "max", ["2d"], ["v"], Schedule("1h"))["v"]
+    out = FeatureList([f]).compute_historical_features(e.select("k").distinct().withColumn("POINT_IN_TIME", F.lit("2024-01-04").cast("timestamp_ntz")))
+    return out.select("k", F.posexplode("v").alias("i", "v")).select("k", F.col("i").cast("bigint").alias("i"), F.round("v", 4).alias("v"))
+
+
+@query("SELECT o_custkey, status, price FROM (SELECT *, lead(eff) OVER (PARTITION BY o_custkey ORDER BY eff) AS till FROM (SELECT o_custkey, o_orderdate AS eff, min(o_orderstatus) AS status, min(o_totalprice) AS price FROM orders GROUP BY 1, 2)) WHERE till IS NULL")
+def current_rows(spark, d):
+    return _scd(spark, d).current().select("o_custkey", "status", "price")
+
+
+@query("SELECT n_nationkey AS key, n_name AS info_name, r_name AS info_region_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def flattened_structs(spark, d):
+    n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return tables.flattened(n.select(F.col("n_nationkey").alias("key"), F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name")).alias("region")).alias("info")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-02-26' AND '1995-04-03'")
+def partition_filter(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", temporal.formatted(F.col("o_orderdate"), "yyyy-MM-dd").alias("day"))
+    return tables.partition_filter(o, "day", "1995-02-28", "1995-04-01", 2, "yyyy-MM-dd").select("o_orderkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,11 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, fmt:
     return df.select(*columns) if columns else df
 
 
+def literal(spark: SparkSession, rows: list[tuple[Any, ...]], schema: str) -> DataFrame:
+    """A frame of given rows."""
+    return spark.createDataFrame(rows, schema)
+
+
 def flattened(df: DataFrame, separator: str = "_") -> DataFrame:
     """Structs' leaves as columns."""
 
@@ -47,6 +53,15 @@ class Table:
         self.raw = df
         self.operations = dict(cleaning_operations or {})
 
+    def developed(self, df: DataFrame) -> Table:
+        """The same table over other rows, those of a development dataset; they need the same columns and types."""
+        lacks = [f"{c} {t}" for c, t in self.raw.dtypes if (c, t) not in df.dtypes]
+        if lacks:
+            raise ValueError(f"the development rows lack {', '.join(lacks)}")
+        out = copy.copy(self)
+        out.raw, out.operations = df.select(*[F.col(f"`{c}`") for c in self.raw.columns]), dict(self.operations)
+        return out
+
     def update_cleaning(self, column: str, operations: list[Any]) -> None:
         self.operations[column] = operations
 
