@@ -112,6 +112,8 @@ class Planner:
         out = out.withColumn(mark, last)
         keys = [*serving, mark]
         asked = out.select(*keys).distinct().dropna()
+        if len(spans) > 1 and not x0.category and not x0.vector and x0.method != "count_distinct":
+            return joins.attach(out, self._nested(asked, tiles, serving, mark, spans), keys).drop(mark)
         for (n, shift), some in spans.items():
             end = F.col(mark) - shift
             hits = joins.range_join(asked, tiles.withColumnRenamed("__idx", "__tile"), list(serving), end - n, end, F.col("__tile"), n)
@@ -137,6 +139,18 @@ class Planner:
             out = joins.attach(out, got, keys)
         return out.drop(mark)
 
+    def _nested(self, asked: DataFrame, tiles: DataFrame, serving: tuple[str, ...], mark: str, spans: dict[tuple[int, int], list[AnyLeaf]]) -> DataFrame:
+        """Several spans in one join over the widest: each one's aggregates take the tiles within it."""
+        first, last = max(n + shift for n, shift in spans), min(shift for _, shift in spans)
+        hits = joins.range_join(asked, tiles.withColumnRenamed("__idx", "__tile"), list(serving), F.col(mark) - first, F.col(mark) - last, F.col("__tile"), first - last)
+        found = []
+        for (n, shift), some in spans.items():
+            inside = (F.col("__tile") >= F.col(mark) - (shift + n)) & (F.col("__tile") < F.col(mark) - shift)
+            for x in some:
+                part = {s: F.when(inside, F.col(f"{x.column}_{s}")) for s in Aggregate(x.method).tile(F.lit(1), F.struct(F.lit(1)))}
+                found.append(Aggregate(x.method).merge(part).alias(x.column))
+        return hits.groupBy(*serving, mark).agg(*found)
+
     def _tiles(self, rows: DataFrame, leaves: list[AnyLeaf], by: list[str]) -> DataFrame:
         x0 = leaves[0]
         if x0.category:
