@@ -3,11 +3,15 @@
 Base rules find e-mail addresses, IP addresses, card and phone numbers; their possessive forms match what the plain ones would, in
 linear time and constant stack. Spans are code points, from the lengths of the matches and of what stands between them.
 
-The method: spans of the base rules are the seeds. The words before an instance are its lexical patterns (the last word, and the
-last two). Patterns and instance values form a graph; round by round a pattern's confidence in a kind is the summed score of
-its values of that kind over all its distinct values plus one, a value's score is its best pattern's confidence, and seeds keep
-score one. Patterns above PATTERN_LIMIT with MIN_SUPPORT distinct values of a kind, after the last round, mark identifier-like tokens that
-no base span overlaps. All statistics are over all documents; only distinct (pattern, value) pairs are moved.
+The method: spans of the base rules are the seeds, and so are long hexadecimal tokens, as seeds of a kind of its own, secret. The words before an
+instance are its lexical patterns (the last word, and the last two). Patterns and instance values form a graph; round by round a pattern's
+confidence in a kind is the summed score of its values of that kind over all its distinct values plus one, a value's score is its best
+pattern's confidence, and seeds keep score one. Patterns above PATTERN_LIMIT with MIN_SUPPORT distinct values of a kind, after the last round,
+mark identifier-like tokens that no base span overlaps: secrets by their context, not by their form alone. All statistics are over all
+documents; only distinct (pattern, value) pairs are moved.
+
+Limits: tokens have six word characters, four of them digits, or more; patterns have words of at most 24 letters within 64 characters; ROUNDS
+rounds are made, so a pattern that shares no value with one nearer to the seeds than ROUNDS - 1 steps isn't reached.
 
 Edge cases: a null text is empty; texts without personal data give zero counts, the digest of the empty string and empty spans;
 repeated rows are searched one by one; an empty table gives an empty result; other columns don't take part.
@@ -21,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import join_dimension, let, materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the method adds to, in the order that spans of one start have.
+LEARNT = (*KINDS, "secret")
+#: Tokens that are seeds of secrets by their form.
+SECRET = "^[0-9a-f]{32,}$"
 ROUNDS = 3
 PATTERN_LIMIT = 0.75
 MIN_SUPPORT = 5
@@ -33,8 +41,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A run of 6 to 64 word characters with at least four digits, of which no more may be seen.
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[A-Za-z0-9_-]{6,64}(?![A-Za-z0-9_-])"
+#: A whole run of 6 word characters or more with at least four digits.
+CANDIDATE = r"(?<![A-Za-z0-9_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[A-Za-z0-9_-]{6,}+"
 _TRIGGER = {"email": "@", "phone": "+"}
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,before:string>>"
 
@@ -118,14 +126,14 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     base = base.select("doc_id", F.monotonically_increasing_id().alias("__row"), *counts, b.alias("__base"), tokens.alias("__tokens"))
     base = materialize(base, "pii-base")
     marks = base.select("__row", F.explode(F.concat("__base", "__tokens")).alias("x")).select("__row", "x.start", "x.end", "x.kind", "x.value", contexts(F.col("x.before")).alias("__ctx"))
-    edges = marks.select(F.explode("__ctx").alias("pattern"), F.xxhash64("value").alias("value"), F.when(F.col("kind") != "", F.col("kind")).alias("seed"))
+    edges = marks.select(F.explode("__ctx").alias("pattern"), F.xxhash64("value").alias("value"), F.when(F.col("kind") != "", F.col("kind")).when(F.rlike("value", F.lit(SECRET)), "secret").alias("seed"))
     edges = materialize(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
     best = _bootstrap(edges)
     n = best.count()
     found = marks.filter(F.col("kind") == "").select("__row", "start", "end", F.explode("__ctx").alias("pattern"))
     hits = join_dimension(found, best.select("pattern", F.col("kind").alias("k"), "confidence"), ["pattern"], n).filter(F.col("k").isNotNull())
     hits = hits.groupBy("__row", "start", "end").agg(F.max(F.struct("confidence", "k")).alias("b"))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("b.k")).cast("int") - 1
+    rank = F.array_position(F.array(*[F.lit(k) for k in LEARNT]), F.col("b.k")).cast("int") - 1
     one = F.struct(F.col("start"), rank.alias("rank"), F.col("b.k").alias("kind"), F.col("end"), F.lit("").alias("value"), F.lit("").alias("before"))
     # of one text only: as many as it has marked tokens
     added = hits.groupBy("__row").agg(F.collect_list(one).cast(_SPAN).alias("__added"))
