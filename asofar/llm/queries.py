@@ -67,7 +67,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all URLs of pages, the model trained on those that the rules decide."""
+    """Verdicts on all URLs of pages, the model trained on the small labelled table."""
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

@@ -1,8 +1,9 @@
 """URL filter: host and path rules, and a logistic regression on hashed character n-grams for what no rule covers.
 
-The model is fitted on a small labelled table of URLs. Where none is given, the URLs that a rule decides are the labels,
-at most TRAIN_ROWS of them, chosen by digest; every URL is judged. Fitting is full-batch gradient descent from zero over
-sorted rows, so reruns agree; the weights (2**16 numbers) don't grow with the input.
+The model is fitted on a small labelled table of URLs: labelled_urls.csv beside this module (or one of the caller's), an invented one that
+says what the filter is to keep out. Of a larger table about TRAIN_ROWS rows are taken, those of the least digests; every URL is
+judged. Fitting is full-batch gradient descent from zero over sorted rows, so reruns agree; the weights (2**16 numbers) don't
+grow with the input.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is judged by the model's intercept and the
 n-grams of the empty text; repeated rows are judged alike; without labels of both verdicts the model answers
@@ -11,13 +12,15 @@ with the verdict that there is, allow if there is none; an empty table gives an
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (rule, verdict); a rule is a host and the start of a path.
@@ -94,10 +97,17 @@ def fit(hosts: list[str], paths: list[str], block: np.ndarray, rounds: int = ROU
     return Model(w, b)
 
 
+def labels(spark: SparkSession) -> DataFrame:
+    """url and verdict: the table beside this module."""
+    with open(Path(__file__).with_name("labelled_urls.csv"), encoding="utf-8", newline="") as f:
+        rows = [(r["url"], r["verdict"]) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "url string, verdict string")
+
+
 def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, block_margin (null where a rule decides) for each row of df.
 
-    labelled: columns url and verdict (allow or block); at most TRAIN_ROWS of its rows are used, by the order of a digest.
+    labelled: columns url and verdict (allow or block); without it the table beside this module is taken.
     """
     u = F.col(f"`{url}`")
     ruled = df.select(F.col(f"`{key}`").alias("page_id"), host(u).alias("host"), path(u).alias("path"))
@@ -105,12 +115,12 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tu
     by = F.lit(None).cast("string")
     for rule, verdict in rules:
         by = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by)
-    if labelled is None:
-        train = ruled.filter(F.col("rule").isNotNull()).select("host", "path", by.alias("verdict"))
-    else:
-        train = labelled.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "verdict").filter("verdict in ('allow', 'block')")
-    # the same URL counts once; the bound is TRAIN_ROWS whatever the table's size
-    train = train.distinct().orderBy(F.xxhash64("host", "path"), "host", "path", "verdict").limit(TRAIN_ROWS).collect()
+    labelled = labels(df.sparkSession) if labelled is None else labelled
+    train = labelled.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "verdict").filter("verdict in ('allow', 'block')").distinct()
+    n = train.count()
+    if n > TRAIN_ROWS:  # a share by digest: TRAIN_ROWS rows, give or take a few hundred, whatever the table's size
+        train = train.filter(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 40)) < int((1 << 40) * TRAIN_ROWS / n))
+    train = sorted(train.collect(), key=lambda r: (r.host, r.path, r.verdict))
     model = fit([r.host for r in train], [r.path for r in train], np.array([r.verdict == "block" for r in train], dtype=float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
