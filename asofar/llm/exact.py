@@ -1,17 +1,19 @@
 """Exact deduplication against an index of distinct digests behind minimal perfect hashes.
 
-Texts are equal when their SHA-256 digests after white-space removal are. The index is cut into shards by digest; a shard is a
-minimal perfect hash (levels of bit arrays with ranks) whose n slots hold the n full digests and the locators of the winners.
-A digest that isn't in the index still gets some slot or none, so a lookup compares all 32 bytes; digests that aren't
-members are grouped among themselves by a plain aggregation. Only digests, ids and lengths are moved, never texts.
+Texts are equal when their SHA-256 digests after white-space removal are. The index is a table cut into shards by digest; a shard is a
+minimal perfect hash (levels of bit arrays with ranks) whose n slots hold the n full digests and the locators of the winners: id,
+code points, row and size of the group. It is written once and read by any later run. A digest that isn't in the index still gets some slot
+or none, so a lookup compares all 32 bytes. Newcomers are grouped among themselves first and ask once for each distinct digest: members join
+their group, the others are groups of their own. In resolve() only digests, ids and lengths are moved, never texts.
 
-Of equal texts the row with the most code points stays, then the one with the smallest id (null ids last).
+Without an index of earlier runs, a table's own older half (by id) is history and its newer half asks.
 
-Skew: a digest with more than 1 / 2000 of all rows - at most 2000 of them can exist - is answered from a broadcast slice of
-the same winners; the rest spread evenly over the shards.
+Of equal texts the row with the most code points stays, then the one with the smallest id (null ids last), then the first one read.
 
-Edge cases: a null text counts as empty; blank texts equal the empty one; repeated rows, with equal ids too, form one group
-whose kept id is theirs; an empty table gives an empty result; other columns don't take part.
+Skew: the answers for a digest with more than 1 / 2000 of all rows - at most 2000 of them can exist - are broadcast, the rest join by digest.
+
+Edge cases: a null text counts as empty; blank texts equal the empty one; of repeated rows, with equal ids too, one is kept; an empty
+table gives an empty result; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -91,74 +93,135 @@ def _place(words: np.ndarray, level: int, size: int) -> np.ndarray:
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__key, __digest (32 bytes), __chars: all that is moved of a row."""
+    """__key, __digest (32 bytes), __chars, __row: all that is moved of a row. Row numbers hold once the result has been written."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.col(f"`{key}`").cast("bigint").alias("__key"), F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("__digest"), F.length(t).cast("bigint").alias("__chars"))
+    return df.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{key}`").cast("bigint").alias("__key"), F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("__digest"), F.length(t).cast("bigint").alias("__chars"))
+
+
+def _better(chars: Column, key: Column, row: Column) -> Column:
+    """The least of these is the winner."""
+    return F.struct((-chars).alias("c"), key.isNull().alias("n"), key.alias("k"), row.alias("r"))
 
 
 def winners(base: DataFrame) -> DataFrame:
-    """The index's content: a row for each distinct digest, with its winner and number of rows. Combined before the shuffle."""
-    best = F.min(F.struct((-F.col("__chars")).alias("c"), F.col("__key").isNull().alias("n"), F.col("__key").alias("k")))
-    return base.groupBy("__digest").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size")).select("__digest", (-F.col("b.c")).alias("win_chars"), F.col("b.k").alias("keep_id"), "group_size")
+    """A row for each distinct digest, with its winner and number of rows. Combined before the shuffle."""
+    best = F.min(_better(F.col("__chars"), F.col("__key"), F.col("__row")))
+    out = base.groupBy("__digest").agg(best.alias("b"), F.count(F.lit(1)).alias("group_size"))
+    return out.select("__digest", (-F.col("b.c")).alias("win_chars"), F.col("b.k").alias("keep_id"), F.col("b.r").alias("win_row"), "group_size")
 
 
 def _shard(n: int) -> Column:
-    return F.pmod(F.xxhash64("__digest"), F.lit(n))
+    return F.pmod(F.xxhash64("__digest"), F.lit(n)).cast("int")
+
+
+_LOCATORS = ("keep_id", "win_chars", "win_row", "group_size")
+_INDEX = "shard int, shards int, sizes array<bigint>, bits binary, digests binary, known binary, " + ", ".join(f"{c} binary" for c in _LOCATORS)
+
+
+def build_index(content: DataFrame) -> DataFrame:
+    """The index of winners()'s rows, a row for each shard: the hash's levels, and digests and locators in the order of its slots."""
+    n = max(4 * parallelism(content.sparkSession), -(-content.count() // SHARD_DIGESTS))
+    content = content if "win_row" in content.columns else content.withColumn("win_row", F.lit(-1).cast("bigint"))
+
+    def build(t: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(t["__digest"].to_pylist()), dtype=np.uint8).reshape(-1, 32)
+        mph, slots = PerfectHash.build(keys)
+        owner = np.empty(len(keys), dtype=np.int64)
+        owner[slots] = np.arange(len(keys))
+        of_slot = {c: t[c].take(pa.array(owner)) for c in _LOCATORS}
+        row = {"shard": t["__shard"][0].as_py(), "shards": n, "sizes": mph.sizes, "bits": b"".join(np.packbits(x).tobytes() for x in mph.bits), "digests": keys[owner].tobytes(), "known": of_slot["keep_id"].is_valid().to_numpy().tobytes()}
+        row |= {c: of_slot[c].fill_null(0).to_numpy().astype("<i8").tobytes() for c in _LOCATORS}
+        return pa.Table.from_pylist([row], schema=_INDEX_ARROW)
+
+    sent = content.select(_shard(n).alias("__shard"), "__digest", *[F.col(c).cast("bigint").alias(c) for c in _LOCATORS])
+    return materialize(sent.groupBy("__shard").applyInArrow(build, _INDEX), "exact-index")
 
 
-_FOUND = "__key bigint, __digest binary, __chars bigint, keep_id bigint, win_chars bigint, group_size bigint"
+_INDEX_ARROW = pa.schema([("shard", pa.int32()), ("shards", pa.int32()), ("sizes", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("bits", "digests", "known", *_LOCATORS)]])
 
 
-def _probe(rows: pa.Table, index: pa.Table) -> pa.Table:
-    """Builds the shard's hash over the index's digests, puts digests and locators in its slots and looks every row up."""
-    keys = np.frombuffer(b"".join(index["__digest"].to_pylist()), dtype=np.uint8).reshape(-1, 32)
-    ask = np.frombuffer(b"".join(rows["__digest"].to_pylist()), dtype=np.uint8).reshape(-1, 32)
-    mph, slots = PerfectHash.build(keys)
-    owner = np.empty(len(keys), dtype=np.int64)
-    owner[slots] = np.arange(len(keys))
-    stored = keys[owner]
-    got = mph.lookup(ask) if len(keys) else np.full(len(ask), -1, dtype=np.int64)
-    same = got >= 0
-    same[same] = (stored[got[same]] == ask[same]).all(axis=1)
-    take = pa.array(np.where(same, owner[got] if len(keys) else 0, 0), mask=~same)
-    found = {c: index[c].take(take) for c in ("keep_id", "win_chars", "group_size")} if len(keys) else {c: pa.nulls(len(ask), pa.int64()) for c in ("keep_id", "win_chars", "group_size")}
-    return pa.table({"__key": rows["__key"], "__digest": rows["__digest"], "__chars": rows["__chars"], "keep_id": found["keep_id"], "win_chars": found["win_chars"], "group_size": found["group_size"]})
+class Shard:
+    """A shard read back: answers digests with slots whose 32 bytes are the same, -1 for others."""
 
+    def __init__(self, row: dict) -> None:
+        self.keys = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
+        n = len(self.keys)
+        bits, ranks, at, used = [], [], 0, 0
+        for size in row["sizes"]:
+            bits.append(np.unpackbits(np.frombuffer(row["bits"], np.uint8, (size + 7) // 8, at), count=size).astype(bool))
+            ranks.append(used)
+            used += int(bits[-1].sum())
+            at += (size + 7) // 8
+        self.hash = PerfectHash(list(row["sizes"]), bits, ranks, {self.keys[k].tobytes(): k for k in range(used, n)})
+        self.known = np.frombuffer(row["known"], bool)
+        self.locators = {c: np.frombuffer(row[c], "<i8") for c in _LOCATORS}
 
-def look_up(base: DataFrame, index: DataFrame, n_index: int) -> DataFrame:
-    """base with the index's keep_id, win_chars and group_size; nulls (group_size too) where a digest isn't a member."""
-    n = max(4 * parallelism(base.sparkSession), -(-n_index // SHARD_DIGESTS))
-    left = base.groupBy(_shard(n).alias("__shard"))
-    right = index.groupBy(_shard(n).alias("__shard"))
-    return left.cogroup(right).applyInArrow(lambda rows, idx: _probe(rows, idx), _FOUND)
+    def slots(self, ask: np.ndarray) -> np.ndarray:
+        got = self.hash.lookup(ask)
+        same = got >= 0
+        same[same] = (self.keys[got[same]] == ask[same]).all(axis=1)
+        return np.where(same, got, -1)
+
+
+_FOUND = "__digest binary, " + ", ".join(f"h_{c} bigint" for c in _LOCATORS)
+
+
+def _probe(asked: pa.Table, index: pa.Table) -> pa.Table:
+    """The members among the asked digests, with the locators of their slots."""
+    digests = asked["__digest"].to_pylist()
+    if not digests or not index.num_rows:
+        return pa.schema([("__digest", pa.binary()), *[(f"h_{c}", pa.int64()) for c in _LOCATORS]]).empty_table()
+    shard = Shard(index.to_pylist()[0])
+    slots = shard.slots(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 32))
+    hit = np.flatnonzero(slots >= 0)
+    at = slots[hit]
+    found = {c: pa.array(x[at], mask=~shard.known[at] if c == "keep_id" else None) for c, x in shard.locators.items()}
+    return pa.table({"__digest": pa.array([digests[i] for i in hit.tolist()], pa.binary()), **{f"h_{c}": found[c] for c in _LOCATORS}})
+
+
+def look_up(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """__digest and the index's h_keep_id, h_win_chars, h_win_row, h_group_size for those of the asked (distinct) digests that are members."""
+    first = index.select("shards").first()
+    if first is None:
+        return asked.select("__digest", *[F.lit(None).cast("bigint").alias(f"h_{c}") for c in _LOCATORS]).limit(0)
+    left = asked.select("__digest").groupBy(_shard(first[0]).alias("__shard"))
+    return left.cogroup(index.groupBy("shard")).applyInArrow(_probe, _FOUND)
 
 
 def resolve(df: DataFrame, key: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, __chars for each row of df.
 
-    history: columns like winners(), the distinct digests of earlier runs. Without it the distinct digests of df itself are
-    the history. A historical winner stays, also against a longer newcomer, as it has been published already; digests that
-    history lacks are grouped among themselves. group_size counts history's rows and those of df.
+    history: an index of earlier runs, or columns like winners(). A historical winner stays, also against a longer newcomer, as it has
+    been published already; digests that history lacks are grouped among themselves. group_size counts history's rows and those of df.
     """
     base = materialize(digests(df, key, text), "exact-digests")
-    own = materialize(winners(base), "exact-winners")
-    rows, n_own = base.count(), own.count()
-    hot = own.filter(F.col("group_size") * HOT_SHARE > rows)
-    index, n_index = (own, n_own) if history is None else (history.select("__digest", "win_chars", "keep_id", "group_size"), history.count())
     if history is None:
-        # at most HOT_SHARE digests can pass the filter, whatever the size of the table
-        flagged = base.join(F.broadcast(hot.select("__digest", "keep_id", "win_chars", "group_size")), "__digest", "left")
-        answered = flagged.filter(F.col("group_size").isNotNull()).select("__key", "__digest", "__chars", "keep_id", "win_chars", "group_size")
-        asked = flagged.filter(F.col("group_size").isNull()).select("__key", "__digest", "__chars")
-        cold = index.join(F.broadcast(hot.select("__digest")), "__digest", "left_anti")
-        out = answered.unionByName(look_up(asked, cold, n_index))
+        rows, middle = base.agg(F.count(F.lit(1)), F.percentile_approx("__key", 0.5, 1000)).first()
+        older = F.coalesce(F.col("__key") <= F.lit(middle).cast("bigint"), F.lit(False))
+        earlier, newer = materialize(winners(base.filter(older)), "exact-earlier"), materialize(winners(base.filter(~older)), "exact-newer")
+        index = build_index(earlier)
+    else:
+        rows, newer = base.count(), materialize(winners(base), "exact-newer")
+        index = history if "digests" in history.columns else build_index(history)
+    answered = newer.join(materialize(look_up(newer, index), "exact-members"), "__digest", "left").withColumn("known", F.col("h_group_size").isNotNull())
+    if history is None:
+        own, theirs = (_better(F.col(f"{p}win_chars"), F.col(f"{p}keep_id"), F.col(f"{p}win_row")) for p in ("", "h_"))
+        best = F.when(F.col("known"), F.least(own, theirs)).otherwise(own)
+        answered = materialize(answered.select("__digest", best.alias("b"), (F.col("group_size") + F.coalesce("h_group_size", F.lit(0))).alias("group_size"), "known"), "exact-answers")
+        answered = answered.select("__digest", (-F.col("b.c")).alias("win_chars"), F.col("b.k").alias("keep_id"), F.col("b.r").alias("win_row"), "group_size", "known")
+        # groups without a newcomer stay as they are
+        rest = earlier.join(answered.filter("known").select("__digest"), "__digest", "left_anti")
+        verdict = answered.drop("known").unionByName(rest).withColumn("known", F.lit(False))
     else:
-        # one question for each distinct digest: members take history's winner, the others their own group's
-        asked = own.select(F.lit(None).cast("bigint").alias("__key"), "__digest", F.lit(0).cast("bigint").alias("__chars"))
-        member = look_up(asked, index, n_index).filter(F.col("group_size").isNotNull()).select("__digest", F.col("keep_id").alias("h_id"), F.col("win_chars").alias("h_chars"), F.col("group_size").alias("h_size"))
-        verdict = materialize(own.join(member, "__digest", "left").select("__digest", F.when(F.col("h_size").isNotNull(), F.col("h_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("h_chars", "win_chars").alias("win_chars"), (F.col("group_size") + F.coalesce("h_size", F.lit(0))).alias("group_size"), F.col("h_size").isNotNull().alias("known")), "exact-verdict")
-        return base.join(verdict, "__digest").select(F.col("__key").alias("doc_id"), "keep_id", "group_size", (~F.col("known") & F.col("__key").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"), "__chars")
-    return out.select(F.col("__key").alias("doc_id"), "keep_id", "group_size", F.col("__key").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"), "__chars")
+        pick = lambda c: F.when(F.col("known"), F.col(f"h_{c}")).otherwise(F.col(c)).alias(c)
+        verdict = answered.select("__digest", pick("win_chars"), pick("keep_id"), "win_row", (F.col("group_size") + F.coalesce("h_group_size", F.lit(0))).alias("group_size"), "known")
+    verdict = materialize(verdict, "exact-verdict")
+    # at most HOT_SHARE digests have so many rows of df (and history's rows only count where there are any of df)
+    hot = materialize(newer.select("__digest", "group_size").unionByName(earlier.select("__digest", "group_size")).filter(F.col("group_size") * HOT_SHARE > rows).select("__digest").distinct() if history is None else newer.filter(F.col("group_size") * HOT_SHARE > rows).select("__digest"), "exact-hot")
+    common = verdict.join(F.broadcast(hot), "__digest", "left_semi")
+    rare = verdict.join(F.broadcast(hot), "__digest", "left_anti")
+    out = base.join(F.broadcast(common), "__digest").unionByName(base.join(F.broadcast(hot), "__digest", "left_anti").join(rare, "__digest"))
+    return out.select(F.col("__key").alias("doc_id"), "keep_id", "group_size", (~F.col("known") & (F.col("__row") == F.col("win_row"))).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"), "__chars")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
