@@ -204,6 +204,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if edges.isEmpty():
             break
         parent = both(edges).groupBy(F.col("__a").alias("__node")).agg(F.min("__b").alias("__p")).select("__node", F.least("__node", "__p").alias("__root"))
+        # written, so that the joins on __root, which most nodes may share, are of plain exchanges: those a skewed key is split in
+        parent = materialize(parent, "simhash-neighbours")
         settled = False
         while not settled:
             for _ in range(2):
@@ -239,7 +241,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """doc_id, fingerprint (16 hex digits a word), component_id (smallest id reachable) and component_size for each row of df."""
     names = _names(words)
     base, joined = _grouped(df, key, text, shingle, distance, words, count)
-    ids = joined.groupBy("__root").agg(F.min("__least").alias("component_id"), F.sum("__n").alias("component_size"))
+    joined = materialize(joined.select(*names, "__root", "__least", "__n"), "simhash-rooted")
+    ids = materialize(joined.groupBy("__root").agg(F.min("__least").alias("component_id"), F.sum("__n").alias("component_size")), "simhash-ids")
     labelled = materialize(joined.select(*names, "__root").join(ids, "__root").select(*names, "component_id", "component_size"), "simhash-components")
     out = base.join(labelled, names)
     return out.select(F.col("__key").alias("doc_id"), F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in names]).alias("fingerprint"), "component_id", "component_size")
