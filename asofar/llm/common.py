@@ -86,6 +86,14 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's rows in an Arrow batch, so that long texts don't make batches of tens of MB on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def give_back() -> None:
     """Return what a worker's allocators keep free to the system, where they can."""
     pa.default_memory_pool().release_unused()

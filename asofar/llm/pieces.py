@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, small_batches
 
 MARK = "▁"
 CACHE_WORDS = 1 << 17
@@ -401,8 +401,10 @@ def encoder(path: str) -> Encoder:
 def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32, n_viterbi, viterbi_crc32, round_trip, ids, viterbi_ids for each row of df.
 
-    round_trip: both lists of ids decode to the text, with the mark's own character read as a blank.
+    round_trip: both lists of ids decode to the text, with the mark's own character read as a blank. The session's Arrow batches are
+    lowered to 1000 rows.
     """
+    small_batches(df.sparkSession)
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
