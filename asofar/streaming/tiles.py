@@ -1,7 +1,7 @@
 """Incremental tiles: a stream of events keeps a table of partial aggregates up to date.
 
 Each micro-batch (one run with trigger availableNow, or a standing query) aggregates its rows to tiles and adds them to those on disk. Tiles
-are kept in generations: a batch writes the changed entities' tiles merged with the old ones as the next generation, so a batch that is run again after
+are kept in generations: a batch writes all tiles, the old ones merged with its own, as the next generation, so a batch that is run again after
 a failure starts from the same one and gives the same result.
 """
 
@@ -40,6 +40,8 @@ def maintain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts:
         spark = batch.sparkSession
         new = tiles(batch, keys, ts, value, schedule)
         old = _generation(spark, path, number - 1) if number else None
+        if number and old is None:
+            raise FileNotFoundError(f"{path}/generation={number - 1} is missing: without it all earlier tiles would be lost")
         (new if old is None else combine(old, new, keys)).write.mode("overwrite").parquet(f"{path}/generation={number}")
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
