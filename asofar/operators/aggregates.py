@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -37,18 +37,20 @@ class Aggregate:
             "latest": lambda: {"v": F.max_by(v, order), "t": F.max(order)},
         }[self.method]()
 
-    def merge(self, part: dict[str, Column]) -> Column:
-        """The aggregate over tiles from their partial columns."""
+    def merge(self, part: dict[str, Column], frame: WindowSpec | None = None) -> Column:
+        """The aggregate over tiles from their partial columns: of a group, or of a frame."""
         p = part
+        of = (lambda c: c) if frame is None else (lambda c: c.over(frame))
+        total = lambda s: of(F.sum(p[s]))
         return {
-            "sum": lambda: F.sum(p["s"]),
-            "avg": lambda: F.try_divide(F.sum(p["s"]), F.sum(p["n"])),
-            "min": lambda: F.min(p["v"]),
-            "max": lambda: F.max(p["v"]),
-            "count": lambda: F.sum(p["n"]),
-            "na_count": lambda: F.sum(p["n"]),
-            "std": lambda: population_std(F.sum(p["q"]), F.sum(p["s"]), F.sum(p["n"])),
-            "latest": lambda: F.max_by(p["v"], p["t"]),
+            "sum": lambda: total("s"),
+            "avg": lambda: F.try_divide(total("s"), total("n")),
+            "min": lambda: of(F.min(p["v"])),
+            "max": lambda: of(F.max(p["v"])),
+            "count": lambda: total("n"),
+            "na_count": lambda: total("n"),
+            "std": lambda: population_std(total("q"), total("s"), total("n")),
+            "latest": lambda: of(F.max_by(p["v"], p["t"])),
         }[self.method]()
 
     def direct(self, value: Column, order: Column | None = None) -> Column:

@@ -1,14 +1,15 @@
 """Compiles features and a request table into one DataFrame plan.
 
-Leaves that share source, keys, category and schedule share one pass of tiles; those that share a window too share one merge.
-Requests are reduced to distinct keys and jobs before any join, and results come back by a left join on the same columns.
+Leaves that share source, keys, category and schedule share one pass of tiles, and plain aggregates of all windows one sliding pass over them.
+Other requests are reduced to distinct keys and jobs before any join, and results come back by a left join on the same columns.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import countdict, temporal, vector
@@ -108,12 +109,12 @@ class Planner:
     def _merged(self, out: DataFrame, leaves: list[AnyLeaf], tiles: DataFrame, serving: tuple[str, ...], last: Column, spans: dict[tuple[int, int], list[AnyLeaf]]) -> DataFrame:
         """Joins each span's tiles [last - offset - n, last - offset) to distinct requests, merges and attaches them."""
         x0 = leaves[0]
+        if not x0.category and not x0.vector and x0.method != "count_distinct":
+            return self._sliding(out, tiles, serving, last, spans)
         mark = f"__last_{x0.column[6:]}"
         out = out.withColumn(mark, last)
         keys = [*serving, mark]
         asked = out.select(*keys).distinct().dropna()
-        if len(spans) > 1 and not x0.category and not x0.vector and x0.method != "count_distinct":
-            return joins.attach(out, self._nested(asked, tiles, serving, mark, spans), keys).drop(mark)
         for (n, shift), some in spans.items():
             end = F.col(mark) - shift
             hits = joins.range_join(asked, tiles.withColumnRenamed("__idx", "__tile"), list(serving), end - n, end, F.col("__tile"), n)
@@ -139,17 +140,31 @@ class Planner:
             out = joins.attach(out, got, keys)
         return out.drop(mark)
 
-    def _nested(self, asked: DataFrame, tiles: DataFrame, serving: tuple[str, ...], mark: str, spans: dict[tuple[int, int], list[AnyLeaf]]) -> DataFrame:
-        """Several spans in one join over the widest: each one's aggregates take the tiles within it."""
-        first, last = max(n + shift for n, shift in spans), min(shift for _, shift in spans)
-        hits = joins.range_join(asked, tiles.withColumnRenamed("__idx", "__tile"), list(serving), F.col(mark) - first, F.col(mark) - last, F.col("__tile"), first - last)
+    def _sliding(self, out: DataFrame, tiles: DataFrame, serving: tuple[str, ...], last: Column, spans: dict[tuple[int, int], list[AnyLeaf]]) -> DataFrame:
+        """Requests and tiles on one time line, each span a sliding frame on it: one exchange, and no join back.
+
+        A key's time line is cut into buckets as wide as the furthest span reaches; a tile goes to its own bucket and the next, so a request
+        finds all its tiles in its own. Requests that can't match (null key or job) are dealt by their hash.
+        """
+        wide = max(n + shift for n, shift in spans)
+        keys = [f"__k{i}" for i in range(len(serving))]
+        bucket = F.floor(F.col("__at") / F.lit(wide)).cast("bigint")
+        row = F.struct(*[F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate(out.columns)])
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c, kind in out.dtypes if "map<" not in kind])
+        named = [F.col(f"`{s}`").alias(k) for s, k in zip(serving, keys, strict=True)]
+        asked = out.select(*named, last.cast("bigint").alias("__at"), row.alias("__l"), spread.alias("__spread"))
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "__at"]])
+        asked = asked.withColumn("__bucket", F.when(known, bucket).otherwise(F.col("__spread"))).drop("__spread")
+        parts = {x.column: {s: f"{x.column}_{s}" for s in Aggregate(x.method).tile(F.lit(1), F.struct(F.lit(1)))} for some in spans.values() for x in some}
+        told = tiles.select(*named, F.col("__idx").cast("bigint").alias("__at"), *[name for part in parts.values() for name in part.values()])
+        told = told.withColumn("__bucket", F.explode(F.array(bucket, bucket + 1)))
+        line = Window.partitionBy(*keys, "__bucket").orderBy("__at")
         found = []
         for (n, shift), some in spans.items():
-            inside = (F.col("__tile") >= F.col(mark) - (shift + n)) & (F.col("__tile") < F.col(mark) - shift)
-            for x in some:
-                part = {s: F.when(inside, F.col(f"{x.column}_{s}")) for s in Aggregate(x.method).tile(F.lit(1), F.struct(F.lit(1)))}
-                found.append(Aggregate(x.method).merge(part).alias(x.column))
-        return hits.groupBy(*serving, mark).agg(*found)
+            frame = line.rangeBetween(-(n + shift), -(shift + 1))
+            found += [Aggregate(x.method).merge({s: F.col(c) for s, c in parts[x.column].items()}, frame).alias(x.column) for x in some]
+        got = asked.unionByName(told, allowMissingColumns=True).select("__l", *found).filter(F.col("__l").isNotNull())
+        return got.select(*[F.col("__l")[f"l{i}"].alias(c) for i, c in enumerate(out.columns)], *[x.column for some in spans.values() for x in some])
 
     def _tiles(self, rows: DataFrame, leaves: list[AnyLeaf], by: list[str]) -> DataFrame:
         x0 = leaves[0]
@@ -262,8 +277,6 @@ class Planner:
                 sums[f"{x.column}_n"] = v.isNull().cast("bigint")
         one = lambda t, sign: rows.filter(F.col(t).isNotNull()).select(*by, F.col(t).alias("__t"), *[(c * sign).alias(n) for n, c in sums.items()])
         steps = one("__a", 1).unionByName(one("__b", -1)).groupBy(*by, "__t").agg(*[F.sum(n).alias(n) for n in sums])
-        from pyspark.sql import Window
-
         line = Window.partitionBy(*by).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
         steps = steps.select(*by, temporal.from_micros(F.col("__t")).alias("__from"), *[F.sum(n).over(line).alias(n) for n in sums])
         if x0.category:
