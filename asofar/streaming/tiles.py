@@ -2,11 +2,13 @@
 
 Each micro-batch (one run with trigger availableNow, or a standing query) aggregates its rows to tiles and adds them to those on disk. Tiles
 are kept in generations: a batch writes all tiles, the old ones merged with its own, as the next generation, so a batch that is run again after
-a failure starts from the same one and gives the same result.
+a failure starts from the same one and gives the same result. The last two generations stay, older ones are removed.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,11 +30,22 @@ def combine(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _generation(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={number}/_SUCCESS")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = _files(spark, f"{path}/generation={number}/_SUCCESS")
     return spark.read.parquet(f"{path}/generation={number}") if fs.exists(at) else None
 
 
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _files(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    numbers = [int(n.removeprefix("generation=")) for n in names if n.startswith("generation=")]
+    return sorted(n for n in numbers if fs.exists(_files(spark, f"{path}/generation={n}/_SUCCESS")[1]))
+
+
 def maintain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, value: str, schedule: Schedule, available_now: bool = True) -> StreamingQuery:
     """Starts a query that keeps the tiles under path."""
 
@@ -43,6 +56,9 @@ def maintain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts:
         if number and old is None:
             raise FileNotFoundError(f"{path}/generation={number - 1} is missing: without it all earlier tiles would be lost")
         (new if old is None else combine(old, new, keys)).write.mode("overwrite").parquet(f"{path}/generation={number}")
+        for past in [n for n in _complete(spark, path) if n < number - 1]:
+            fs, at = _files(spark, f"{path}/generation={past}")
+            fs.delete(at, True)
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -50,12 +66,10 @@ def maintain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], ts:
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The tiles of the last complete generation."""
-    number, found = 0, None
-    while (df := _generation(spark, path, number)) is not None:
-        number, found = number + 1, df
-    if found is None:
+    numbers = _complete(spark, path)
+    if not numbers:
         raise FileNotFoundError(path)
-    return found
+    return spark.read.parquet(f"{path}/generation={numbers[-1]}")
 
 
 def windowed(stream: DataFrame, keys: list[str], ts: str, value: str, schedule: Schedule) -> DataFrame:
