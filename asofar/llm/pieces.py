@@ -23,7 +23,7 @@ empty table gives an empty result; other columns don't take part.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 
@@ -398,6 +398,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _binary(parts: Sequence[memoryview]) -> pa.Array:
+    """A binary column with a copy of the parts: pa.array() never frees the memory behind a memoryview."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])
+
+
+def _rows(coder: Encoder, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of encoded() for a few texts at a time."""
+    at = 0
+    for got in coder.encode_all(texts):
+        own, other, same = zip(*got, strict=True)
+        if not coder.pieces.plain:  # the normalised form may differ from the text
+            plain = [(t or "").replace(MARK, " ") for t in texts.slice(at, len(got)).to_pylist()]
+            same = [coder.decode(a) == t and coder.decode(v) == t for a, v, t in zip(own, other, plain, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [keys.slice(at, len(got)), *[pa.array([f(x) for x in ids], pa.int64()) for ids in (own, other) for f in (lambda x: len(x) // 4, zlib.crc32)], pa.array(same, pa.bool_()), _binary(own), _binary(other)],
+            names=["doc_id", "n_tokens", "ids_crc32", "n_viterbi", "viterbi_crc32", "round_trip", "ids", "viterbi_ids"],
+        )
+        at += len(got)
+        del got, own, other, same
+        give_back()
+
+
 def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32, n_viterbi, viterbi_crc32, round_trip, ids, viterbi_ids for each row of df.
 
@@ -408,21 +431,8 @@ def encoded(df: DataFrame, model: str | None = None, key: str = "doc_id", text:
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
         for b in batches:
-            at = 0
-            for got in coder.encode_all(b.column(1)):
-                own, other, same = zip(*got, strict=True)
-                if not coder.pieces.plain:  # the normalised form may differ from the text
-                    texts = [(t or "").replace(MARK, " ") for t in b.column(1).slice(at, len(got)).to_pylist()]
-                    same = [coder.decode(a) == t and coder.decode(v) == t for a, v, t in zip(own, other, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(got)), *[pa.array([f(x) for x in ids], pa.int64()) for ids in (own, other) for f in (lambda x: len(x) // 4, zlib.crc32)], pa.array(same, pa.bool_()), pa.array(own, pa.binary()), pa.array(other, pa.binary())],
-                    names=["doc_id", "n_tokens", "ids_crc32", "n_viterbi", "viterbi_crc32", "round_trip", "ids", "viterbi_ids"],
-                )
-                at += len(got)
-                del got, own, other, same
-                give_back()
+            yield from _rows(encoder(path), b.column(0), b.column(1))
 
     schema = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_viterbi bigint, viterbi_crc32 bigint, round_trip boolean, ids binary, viterbi_ids binary"
     return df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from asofar.llm import pieces
@@ -89,6 +92,20 @@ def test_full_memory_changes_nothing(monkeypatch):
     assert len(coder.known) == 10
 
 
+def test_rows_that_are_passed_on_are_freed():
+    """A worker's memory doesn't grow with the rows it has encoded."""
+    coder = pieces.Encoder(pieces.default_model())
+    keys, texts = pa.array(range(200)), pa.array(["some words of a text " * 50] * 200)
+    held = []
+    tracemalloc.start()
+    for _ in range(6):
+        assert sum(b.num_rows for b in pieces._rows(coder, keys, texts)) == 200
+        gc.collect()
+        held.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert held[-1] - held[1] < 200_000  # the ids of one round take more
+
+
 def test_commits_come_as_soon_as_paths_meet():
     """What is open stays within a few windows on ordinary text, and a boundary that all survivors pass is given at once."""
     p = pieces.encoder(pieces.default_model()).pieces
