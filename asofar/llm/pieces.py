@@ -6,10 +6,11 @@ one boundary, the ids up to it are committed and dropped at once. Each boundary
 text whose paths never meet (one character, repeated) keeps its tree to its end. The best path is that of the highest summed score; of
 equal ones the one whose last piece is longest.
 
-A vocabulary may say where the search always converges: if no piece has the word mark behind another character, every word's start is
-such a boundary. Then the distinct words of a few megabytes of text are searched, all words of one length in step (the same recurrence, a lane
-for each word), and their ids gathered for all texts. Longer words than LANE_CHARS, and whole texts under other vocabularies, stream. Words are
-remembered (CACHE_WORDS at most); what doesn't fit is searched again.
+A vocabulary may say where the search always converges: between two characters that stand side by side in no piece. If no piece has
+the word mark behind another character, every word's start is such a boundary; under a plain normaliser with byte pieces any other such pair is
+one, too (a letter and a comma, say). Then the distinct words of a few megabytes of text are searched, many words of about one length in step
+(the same recurrence, a lane for each word), and their ids gathered for all texts. Longer words than LANE_CHARS, and whole texts under other
+vocabularies, stream. Words are remembered (CACHE_WORDS at most); what doesn't fit is searched again.
 
 Viterbi search is the rule of unigram models. A model file of the BPE type defines its ids by merges, which no sum of scores
 reproduces; for such a file ``ids`` are the merges' (the library is asked for the same distinct words), and the Viterbi
@@ -40,9 +41,12 @@ CACHE_WORDS = 1 << 17
 #: Longer words stream, and aren't remembered.
 LANE_CHARS = 64
 #: Texts are taken in slices of about so many bytes.
-SLICE_BYTES = 1 << 20
-#: New words are searched so many at a time.
+SLICE_BYTES = 1 << 19
+#: New words are searched so many at a time, so many characters of them in step.
 WORDS_AT_ONCE = 1 << 13
+LANES_CHARS = 1 << 14
+#: Words are given to the library so many in one text.
+JOINED = 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,10 +83,26 @@ class Pieces:
         #: Whether normalising is no more than the prefix and blanks as marks: no map of characters, no blanks taken out.
         self.plain = not rules.get(2) and rules.get(4, 1) == 0 and rules.get(5, 1) == 1
         self.prefix = bool(rules.get(3, 1))
+        self.cuts = self._cuts() if self.plain and self.byte else None
         self.tables = self._tables()
 
-    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each size: sorted hashes of the pieces, their scores and ids."""
+    def _cuts(self) -> np.ndarray:
+        """For 256 * a byte + the next one: whether a character ends between them and no piece goes on there; blanks for marks.
+
+        Unused pieces count, for merges pass through them.
+        """
+        m = self.model
+        out = np.ones((256, 256), dtype=bool)
+        out[:, 0x80:0xC0] = False
+        for i in range(m.vocab_size()):
+            if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i)):
+                p = [c.encode() for c in m.id_to_piece(i).replace(MARK, " ")]
+                for a, b in zip(p[:-1], p[1:], strict=True):
+                    out[a[-1], b[0]] = False
+        return out.reshape(-1)
+
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each size: sorted hashes of the pieces, their scores and ids, and which 16-bit digests of hashes occur."""
         by_size: list[list[str]] = [[] for _ in range(self.longest + 1)]
         for p in self.id:
             by_size[len(p)].append(p)
@@ -94,7 +114,9 @@ class Pieces:
                 h = h * _MIX + codes[:, k]
             order = np.argsort(h)
             ids = np.array([self.id[p] for p in some], dtype=np.int32)
-            out.append((h[order], np.array([self.score[p] for p in some])[order] if some else np.empty(0), ids[order]))
+            seen = np.zeros(1 << 16, dtype=bool)
+            seen[_digest(h)] = True
+            out.append((h[order], np.array([self.score[p] for p in some])[order] if some else np.empty(0), ids[order], seen))
         return out
 
     def unknown_ids(self, char: str) -> list[int]:
@@ -103,6 +125,10 @@ class Pieces:
         return [self.byte[b] for b in char.encode("utf-8")]
 
 
+def _digest(h: np.ndarray) -> np.ndarray:
+    return (h * _MIX >> np.uint64(48)).astype(np.uint16)
+
+
 def _varint(raw: bytes, i: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -209,25 +235,31 @@ def viterbi(pieces: Pieces, text: str) -> list[int]:
 
 
 def in_lanes(pieces: Pieces, words: list[str]) -> list[bytes]:
-    """The search for words of one length in step; little-endian 32-bit ids.
+    """The search for words in step, best of about one length; little-endian 32-bit ids.
 
-    Pieces are found by hash only: the caller has to see whether the ids spell the word.
+    Pieces are found by hash only: the caller has to see whether the ids spell the word. A shorter word's lane goes on behind its end,
+    which nothing before it depends on.
     """
-    size, n = len(words[0]), len(words)
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, size).T.astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    size, n = int(sizes.max()), len(words)
+    codes = np.frombuffer("".join([w.ljust(size, "\0") for w in words]).encode("utf-32-le"), "<u4").reshape(n, size).T.astype(np.uint64)
     longest = min(size, pieces.longest)
     found = np.full((longest + 1, size, n), -1, dtype=np.int32)
     score = np.full((longest + 1, size, n), -np.inf)
     h = np.zeros((size, n), np.uint64)
     for k in range(1, longest + 1):
         h = h[: size - k + 1] * _MIX + codes[k - 1 :]
-        hashes, scores, ids = pieces.tables[k]
+        hashes, scores, ids, seen = pieces.tables[k]
         if not len(hashes):
             continue
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[at] == h
-        found[k, : size - k + 1][hit] = ids[at[hit]]
-        score[k, : size - k + 1][hit] = scores[at[hit]]
+        flat = h.reshape(-1)
+        maybe = np.flatnonzero(seen[_digest(flat)])
+        some = flat[maybe]
+        at = np.minimum(np.searchsorted(hashes, some), len(hashes) - 1)
+        hit = hashes[at] == some
+        at, maybe = at[hit], maybe[hit]
+        found[k].reshape(-1)[maybe] = ids[at]
+        score[k].reshape(-1)[maybe] = scores[at]
     unknown = found[1] < 0
     found[1][unknown] = -2 - codes[unknown].astype(np.int32)
     score[1][unknown] = pieces.unknown
@@ -240,7 +272,7 @@ def in_lanes(pieces: Pieces, words: list[str]) -> list[bytes]:
             top[better] = other[better]
             back[end][better] = k
         best[end] = top
-    lane, at, steps = np.arange(n), np.full(n, size), []
+    lane, at, steps = np.arange(n), sizes, []
     while at.any():
         k = back[at, lane]
         start = at - k
@@ -279,9 +311,49 @@ class Encoder:
         self.head = len(m.encode("\n"))
         byte = {i: bytes([b]) for b, i in self.pieces.byte.items()}
         self.spelling = [byte.get(i, b"" if m.is_control(i) else m.id_to_piece(i).replace(MARK, " ").encode()) for i in range(m.vocab_size())]
+        self.spelt_bytes = np.array([len(x) for x in self.spelling])
+        self.marked = np.array([m.id_to_piece(i).startswith(MARK) for i in range(m.vocab_size())])
+        #: The id of a line's end, where it parts words in one text: one byte piece that stands beside nothing in a piece.
+        self.line = None
+        if self.pieces.cuts is not None:
+            sides = self.pieces.cuts.reshape(256, 256)
+            apart = sides[:, 10].all() and sides[10, :0x80].all() and sides[10, 0xC0:].all()
+            self.line = self.pieces.byte[10] if apart and m.encode("\n")[-1:] == [self.pieces.byte[10]] else None
 
     def _merged(self, words: list[str]) -> list[bytes]:
-        """The merges' ids; a prefix that the model would add to a mark alone is left out behind a character that no piece holds."""
+        """The merges' ids; a prefix that the model would add to a mark alone is left out behind a character that no piece holds.
+
+        Where words are what no piece crosses, many are given in one text: those with one mark, at their start, side by side, others a
+        line each.
+        """
+        out: list[bytes] = [b""] * len(words)
+        left: Iterable[int] = range(len(words))
+        if self.line is not None and self.pieces.word_starts:
+            alone, lines, left = [], [], []
+            for i, w in enumerate(words):
+                (alone if len(w) > 1 and w.rfind(MARK) == 0 else left if "\n" in w else lines).append(i)
+            for some in (alone[at : at + JOINED] for at in range(0, len(alone), JOINED)):
+                self._fill(out, left, some, "".join([words[i] for i in some])[int(self.pieces.prefix) :], True)
+            for some in (lines[at : at + JOINED] for at in range(0, len(lines), JOINED)):
+                self._fill(out, left, some, "\n" + "\n".join([words[i] for i in some]), False)
+        if left:
+            for i, ids in zip(left, self._merged_singly([words[i] for i in left]), strict=True):
+                out[i] = ids
+        return out
+
+    def _fill(self, out: list[bytes], left: list[int], some: list[int], text: str, marked: bool) -> None:
+        """Put the ids of some words, given as one text, into out; if it isn't cut into as many, their numbers into left."""
+        ids = np.array(self.pieces.model.encode(text, num_threads=1), dtype="<u4")
+        starts = np.flatnonzero(self.marked[ids] if marked else ids == self.line) + (not marked)
+        if len(starts) != len(some):
+            left += some
+            return
+        ends = np.append(starts[1:] - (not marked), len(ids))
+        raw = ids.tobytes()
+        for i, a, e in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            out[i] = raw[a:e]
+
+    def _merged_singly(self, words: list[str]) -> list[bytes]:
         m = self.pieces.model
         marks = [i for i, w in enumerate(words) if self.pieces.prefix and not (w.startswith(MARK) and w.strip(MARK))]
         out = m.encode([w[1:] if self.pieces.prefix and w.startswith(MARK) else w for w in words], num_threads=1)
@@ -292,17 +364,17 @@ class Encoder:
 
     def _searched(self, words: list[str]) -> list[bytes]:
         out = [b""] * len(words)
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) <= LANE_CHARS:
-                by_size.setdefault(len(w), []).append(i)
-            else:
-                out[i] = self._streamed(w)
-        for some in by_size.values():
-            for at in range(0, len(some), 2048):
-                part = some[at : at + 2048]
-                for i, ids in zip(part, in_lanes(self.pieces, [words[i] for i in part]), strict=True):
-                    out[i] = ids
+        short = sorted((i for i, w in enumerate(words) if len(w) <= LANE_CHARS), key=lambda i: -len(words[i]))
+        at = 0
+        while at < len(short):
+            part = short[at : at + LANES_CHARS // len(words[short[at]])]
+            at += len(part)
+            for i, ids in zip(part, in_lanes(self.pieces, [words[i] for i in part]), strict=True):
+                out[i] = ids
+        if len(short) < len(words):
+            for i, w in enumerate(words):
+                if len(w) > LANE_CHARS:
+                    out[i] = self._streamed(w)
         return out
 
     def _streamed(self, word: str) -> bytes:
@@ -311,6 +383,15 @@ class Encoder:
     def _spells(self, ids: bytes, raw: bytes) -> bool:
         return b"".join(map(self.spelling.__getitem__, memoryview(ids).cast("I"))) == raw
 
+    def _all_spell(self, ids: list[bytes], raw: list[bytes]) -> bool:
+        """Whether each word's ids spell it, seen from all together."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if b"".join(map(self.spelling.__getitem__, flat.tolist())) != b"".join(raw):
+            return False
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.spelt_bytes[flat])))
+        last = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        return bool((upto[last] == np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))).all())
+
     def _encoded(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """words: distinct, with blanks for marks."""
         out = list(map(self.known.get, words))
@@ -320,18 +401,21 @@ class Encoder:
             new = [words[i].replace(" ", MARK) for i in at]
             found = self._searched(new)
             own = found if self.pieces.unigram else self._merged(new)
-            room = CACHE_WORDS - len(self.known)
-            for i, word, a, v in zip(at, new, own, found, strict=True):
-                raw = words[i].encode("utf-8", "surrogatepass")
-                good = self._spells(v, raw)
-                if not good and len(word) <= LANE_CHARS:  # a hash may have deceived
-                    v = self._streamed(word)
-                    good = self._spells(v, raw)
-                    a = v if self.pieces.unigram else a
-                out[i] = (a, a, good) if a == v else (a, v, good and self._spells(a, raw))
-                if room > 0 and len(word) <= LANE_CHARS:
-                    self.known[words[i]] = out[i]
-                    room -= 1
+            raw = [words[i].encode("utf-8", "surrogatepass") for i in at]
+            if self._all_spell(found, raw) and (own is found or self._all_spell(own, raw)):
+                for i, a, v in zip(at, own, found, strict=True):
+                    out[i] = (a, a if a == v else v, True)
+            else:
+                for i, word, r, a, v in zip(at, new, raw, own, found, strict=True):
+                    good = self._spells(v, r)
+                    if not good and len(word) <= LANE_CHARS:  # a hash may have deceived
+                        v = self._streamed(word)
+                        good = self._spells(v, r)
+                        a = v if self.pieces.unigram else a
+                    out[i] = (a, a, good) if a == v else (a, v, good and self._spells(a, r))
+            if len(self.known) < CACHE_WORDS:
+                short = [i for i, word in zip(at, new, strict=True) if len(word) <= LANE_CHARS]
+                self.known.update((words[i], out[i]) for i in short[: CACHE_WORDS - len(self.known)])
         return out
 
     def _normal(self, texts: pa.Array) -> pa.Array:
@@ -359,7 +443,9 @@ class Encoder:
             raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
             first = np.zeros(offsets[-1] + 1, dtype=bool)
             first[offsets] = True
-            if self.pieces.word_starts:
+            if self.pieces.cuts is not None:
+                first[1:-1] |= self.pieces.cuts[(raw[: max(0, offsets[-1] - 1)].astype(np.uint16) << 8) | raw[1 : offsets[-1]]]
+            elif self.pieces.word_starts:
                 blank = raw[: offsets[-1]] == 32
                 first[1:-1] |= blank[1:] & ~blank[:-1]
             first[: offsets[0]] = False

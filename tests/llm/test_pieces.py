@@ -92,6 +92,17 @@ def test_full_memory_changes_nothing(monkeypatch):
     assert len(coder.known) == 10
 
 
+def test_words_end_where_no_piece_goes_on():
+    """A letter and a comma, or a line's end, stand side by side in no piece: what they part is searched and remembered once."""
+    coder = pieces.Encoder(pieces.default_model())
+    texts = ["tree, tree. tree\ntree", "(tree) tree!\n\n tree", "日tree🙂tree, \n", "\n", ",", " ,\n tree", "<0x0A>\n<s>tree", "\n".join(["tree,"] * 900)]
+    got = [x for some in coder.encode_all(texts) for x in some]
+    assert [np.frombuffer(own, "<u4").tolist() for own, _, _ in got] == [coder.pieces.model.encode(t) for t in texts]
+    assert [np.frombuffer(v, "<u4").tolist() for _, v, _ in got] == [pieces.viterbi(coder.pieces, "▁" + t.replace(" ", "▁")) for t in texts]
+    assert all(spelt for _, _, spelt in got)
+    assert {w for w in coder.known if "tree" in w} == {" tree", "tree"}
+
+
 def test_rows_that_are_passed_on_are_freed():
     """A worker's memory doesn't grow with the rows it has encoded."""
     coder = pieces.Encoder(pieces.default_model())
