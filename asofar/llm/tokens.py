@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, scratch_path
+from .common import SPACES, parallelism, scratch_path
 
 CHUNK_BITS = 8
 BLOCK = 512
@@ -52,6 +52,58 @@ _PLAIN = re.compile("[\x21-\x7e\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00
 _UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9]|[^a-z0-9ªµºß-öø-ɏ]+")
 
 
+#: Kinds of bytes: ASCII white space, letters (of Latin-1 and Latin Extended-A, too), digits, the apostrophe, other printable ASCII, the rest.
+_SPACE, _LETTER, _DIGIT, _QUOTE, _SIGN, _REST = range(6)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, _REST, dtype=np.uint8)
+    out[0x21:0x7F] = _SIGN
+    out[[9, 10, 11, 12, 13, 32]] = _SPACE
+    out[ord("0") : ord("9") + 1] = _DIGIT
+    out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1] = _LETTER
+    out[ord("'")] = _QUOTE
+    return out
+
+
+_KINDS = _kinds()
+#: Whether the word pattern always ends a word between two kinds. What follows a quote may belong to it, what follows a sign runs on with signs.
+_ENDS = np.zeros((6, 6), dtype=bool)
+_ENDS[_SPACE, 1:] = _ENDS[1:, _SPACE] = True
+_ENDS[_LETTER, [_DIGIT, _QUOTE, _SIGN]] = _ENDS[_SIGN, [_LETTER, _DIGIT]] = True
+_ENDS[_DIGIT, [_LETTER, _DIGIT, _QUOTE, _SIGN]] = True
+_ENDS = _ENDS.reshape(-1)
+
+
+def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts cut at white space and wherever else the word pattern ends a word for certain: distinct units in lower case, the number of
+    each unit in turn, and the first unit of each text and the end of the last's.
+
+    Letters in front of other than ASCII keep their case: composing may depend on it. No text may hold a special token.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kinds = _KINDS[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))  # U+00C0 to U+017F
+    first, second = raw[lead], raw[lead + 1]
+    # the signs of times and division, and a capital whose lower case isn't one letter
+    letter = ~(((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC4) & (second == 0xB0)))
+    kinds[lead[letter]] = kinds[lead[letter] + 1] = _LETTER
+    starts = np.zeros(len(raw) + 1, dtype=bool)
+    starts[1:-1] = _ENDS[kinds[:-1] * np.uint8(6) + kinds[1:]]
+    starts[offsets] = starts[-1] = True
+    starts = np.flatnonzero(starts).astype(np.int32)
+    capital = (raw - np.uint8(65)) < 26
+    capital[:-1] &= raw[1:] < 0x80
+    capital[-1:] = False
+    low = raw + (capital.view(np.uint8) << np.uint8(5))
+    units = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(low)]).dictionary_encode()
+    used = kinds[starts[:-1]] != _SPACE
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(used)))
+    return units.dictionary, units.indices.to_numpy()[used], upto[np.searchsorted(starts, offsets)]
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space and never joins what its word pattern separates.
 
@@ -100,18 +152,23 @@ class Encoder:
     def encode(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[memoryview, np.ndarray]]:
         """For a few texts at a time: little-endian 32-bit ids of all, and the first byte of each text's ids and the end of the last's.
 
-        ASCII white space cuts words; the tokenizer drops other white space itself.
+        ASCII white space cuts words, and so do other ends of words that bytes tell, unless a special token may be about; the tokenizer
+        drops other white space itself.
         """
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)] if len(texts) else []
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            parts = pc.ascii_split_whitespace(texts.slice(a, e - a))
-            words = parts.flatten().dictionary_encode()
-            at = words.indices.to_numpy()
+            some = texts.slice(a, e - a)
+            if some.type != pa.string() or pc.any(pc.match_substring(some, "<|")).as_py():
+                parts = pc.ascii_split_whitespace(some)
+                coded = parts.flatten().dictionary_encode()
+                words, at, bounds = coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy()
+            else:
+                words, at, bounds = _units(some)
             gc.disable()  # many small lists and no cycles
             try:
-                ids = self._ids(words.dictionary.to_pylist())
+                ids = self._ids(words.to_pylist())
             finally:
                 gc.enable()
             many = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
@@ -120,17 +177,28 @@ class Encoder:
             ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
             place = np.repeat(first[at] - ends[:-1], n)
             place += np.arange(len(place))
-            yield memoryview(pool[place].tobytes()), 4 * ends[parts.offsets.to_numpy()]
+            yield memoryview(pool[place].tobytes()), 4 * ends[bounds]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         out = list(map(self.words.get, words))
         new = [i for i, x in enumerate(out) if x is None]
         if not new:
             return out
+        # lower-case ASCII letters are one unit as they stand
+        quick = [i for i in new if (w := words[i]).isascii() and w.isalpha() and w.islower()]
+        if quick:
+            asked = self._ask([words[i] for i in quick])
+            for i in quick:
+                out[i] = asked[words[i]]
+            self._remember(words, out, quick)
+            new = [i for i in new if out[i] is None]
         whole, cut, odd = [], [], []  # (number, unit), (number, units), numbers
         units, plain, wanted = self.units, _PLAIN.fullmatch, set()
         for i in new:
             w = words[i]
+            if not w.strip(SPACES):
+                out[i] = b""
+                continue
             if not plain(w) or "<|" in w:
                 odd.append(i)
                 continue
@@ -159,10 +227,13 @@ class Encoder:
             asked = self._ask_marked([words[i] for i in odd])
             for i in odd:
                 out[i] = asked[words[i]]
-        for i in new[: max(0, CACHE_WORDS - len(self.words))]:
-            self.words[words[i]] = out[i]
+        self._remember(words, out, new)
         return out
 
+    def _remember(self, words: list[str], ids: list[bytes], which: list[int]) -> None:
+        for i in which[: max(0, CACHE_WORDS - len(self.words))]:
+            self.words[words[i]] = ids[i]
+
 
 @cache
 def encoder(path: str) -> Encoder:

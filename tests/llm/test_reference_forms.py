@@ -111,6 +111,17 @@ def test_token_files(spark, both):
         assert sorted((key(r[0]), *r[1:]) for r in got) == sorted(want)
 
 
+def test_words_of_token_files_end_where_the_pattern_ends_them():
+    """Signs, digits and capitals around a word make no new words to ask for, and ids are the tokenizer's for whole texts."""
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    texts = ["Tree, tree. (TREE) tree12 tree;\nTree's don't 'tree ''s", "É×é÷ÿ İtree «tree» tree—tree", "H\u0331tree J\u030c 日tree本 ŉ ſ", "", None, " \n", "a'1,'s.'ll1'9"]
+    for some in (texts, [*texts, "tree<|startoftext|>Tree"]):
+        got = [raw[a:e] for raw, ends in coder.encode(some) for a, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        if some is texts:
+            assert {w for w in coder.words if "tree" in w.lower() and w.isascii()} == {"tree", "'tree"}
+
+
 def test_codes_give_any_token():
     ids = np.random.default_rng(1).integers(0, 2, 5000).astype(np.uint32) * np.random.default_rng(2).integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32) + np.arange(5000, dtype=np.uint32) % 300
     codes = tokens.Codes(tokens.pack(ids))
