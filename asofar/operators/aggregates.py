@@ -68,6 +68,38 @@ class Aggregate:
             "count_distinct": lambda: distinct_values(v),
         }[self.method]()
 
+    def parts(self, value: Column, exact: bool = False) -> dict[str, Column]:
+        """Partial aggregates of direct(), by suffix; exact: the value is a decimal. Distinct values have none: rows are counted."""
+        v = value
+        return {
+            "sum": lambda: {"s": F.sum(v)},
+            "avg": lambda: {"s": F.sum(v if exact else v.cast("double")), "n": F.count(v)},
+            "min": lambda: {"v": F.min(v)},
+            "max": lambda: {"v": F.max(v)},
+            "count": lambda: {"n": F.count(F.lit(1))},
+            "na_count": lambda: {"n": F.count_if(v.isNull())},
+            "std": lambda: {"p": F.struct(F.count(v).alias("n"), F.avg(v.cast("double")).alias("m"), (F.var_pop(v.cast("double")) * F.count(v)).alias("q"))},
+            "count_distinct": lambda: {"n": F.count(F.lit(1))},
+        }[self.method]()
+
+    def whole(self, part: dict[str, Column]) -> Column:
+        """direct() of a group from its partial columns."""
+        p = part
+        if self.method == "std":
+            return sample_std(F.array_sort(F.collect_list(p["p"])))
+        return F.sum(p["n"]) if self.method == "count_distinct" else self.merge(p)
+
+
+def sample_std(moments: Column) -> Column:
+    """Of several samples' (number n, mean m, sum of squares about it q), merged one by one; null for less than two values."""
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def add(a: Column, b: Column) -> Column:
+        n, d = a["n"] + b["n"], b["m"] - a["m"]
+        return F.struct(n.alias("n"), (a["m"] + d * b["n"] / n).alias("m"), (a["q"] + b["q"] + d * d * a["n"] * b["n"] / n).alias("q"))
+
+    return F.aggregate(F.filter(moments, lambda e: e["n"] > 0), start, add, lambda e: F.when(e["n"] > 1, F.sqrt(e["q"] / (e["n"] - 1))))
+
 
 def distinct_values(v: Column) -> Column:
     """Distinct values; null counts as one."""

@@ -1,4 +1,4 @@
-"""Joins that a warehouse has and Spark lacks: deduplicated, as-of, window and validity joins, all as equality exchanges."""
+"""Joins that a warehouse has and Spark lacks: deduplicated, as-of and window joins, all as equality exchanges."""
 
 from __future__ import annotations
 
@@ -106,23 +106,6 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], low: Column,
     return l.join(r, [*keys, "__bucket"], "inner").filter((F.col(name) >= F.col("__low")) & (F.col(name) < F.col("__high"))).drop("__low", "__high", "__bucket")
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: Column, start: Column, end: Column) -> DataFrame:
-    """Rows of left with all rows of right of equal keys that are valid: start <= at and at < end or end is null."""
-    l = left.withColumn("__at", temporal.micros(at))
-    r = right.withColumn("__start", temporal.micros(start)).withColumn("__end", temporal.micros(end)).filter("__start is not null")
-    valid = (F.col("__start") <= F.col("__at")) & (F.col("__end").isNull() | (F.col("__at") < F.col("__end")))
-    if keys:
-        on = valid
-        for k in keys:
-            on = on & (l[k] == r[k])
-        out = l.join(r, on, "inner")
-        for k in keys:
-            out = out.drop(r[k])
-    else:
-        out = l.join(r, valid, "inner")
-    return out.drop("__at", "__start", "__end")
-
-
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on columns of equal name; right has one row for each key."""
     return left.join(right, keys, "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import countdict, temporal, vector
-from ..operators import joins
+from ..operators import joins, validity
 from ..operators.aggregates import INVERTIBLE, Aggregate, distinct_values
 from .specs import AnyLeaf, AsAtAggregation, CalendarAggregation, ForwardAggregation, ItemAggregation, Lookup, WindowAggregation
 
@@ -248,11 +248,54 @@ class Planner:
         if all(x.method in INVERTIBLE and not x.vector for x in leaves) and x0.serving:
             got = self._running(asked, leaves, mark)
         else:
-            rows = self._renamed(_keyed(x0), x0.serving)
-            hits = joins.interval_join(asked, rows, list(x0.serving), F.col(mark), F.col(f"`{x0.start}`"), F.col(f"`{x0.end}`"))
-            got = _aggregate(hits, keys, leaves, None, x0.category)
+            got = self._covered(asked, leaves, mark)
         return joins.attach(out, got, keys).drop(mark)
 
+    def _covered(self, asked: DataFrame, leaves: list[AsAtAggregation], mark: str) -> DataFrame:
+        """Other aggregates of valid rows, by blocks of asked times that a row covers: linear but for a logarithm, where rows valid at each point would be listed."""
+        x0 = leaves[0]
+        serving, held = list(x0.serving), ["__level", "__block"]
+        source = _keyed(x0)
+        start, end = temporal.micros(F.col(f"`{x0.start}`")), temporal.micros(F.col(f"`{x0.end}`"))
+        category = [F.coalesce(F.col(f"`{x0.category}`").cast("string"), F.lit(countdict.MISSING)).alias("__category")] if x0.category else []
+        rows = source.select(*[F.col(f"`__s_{s}`").alias(s) for s in serving], start.alias("__a"), end.alias("__b"), *category, *[_value(x).alias(x.column) for x in leaves])
+        rows = rows.filter("__a is not null and (__b is null or __b > __a)")
+        asked = asked.select(*serving, temporal.micros(F.col(mark)).alias("__t"))
+        asked, rows = validity.numbered(asked, rows, serving)
+        asked = validity.holders(asked)
+        keys = [*serving, "__t"]
+        kinds = dict(rows.dtypes)
+        by = ["__category"] if x0.category else []
+        plain, tables, found = [x for x in leaves if not x.vector], [], []
+        for some in ([x for x in plain if x.method != "count_distinct"], *[[x] for x in plain if x.method == "count_distinct"]):
+            if some:
+                each = rows if some[0].method != "count_distinct" else validity.disjoint(rows, [*serving, *by, some[0].column])
+                parts = {f"{x.column}_{s}": c for x in some for s, c in Aggregate(x.method).parts(F.col(x.column), kinds[x.column].startswith("decimal")).items()}
+                tables.append(validity.blocks(each).groupBy(*serving, *held, *by).agg(*[c.alias(name) for name, c in parts.items()]))
+        if tables:
+            table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+            direct = dict(rows.groupBy().agg(*[Aggregate(x.method).direct(F.col(x.column)).alias(x.column) for x in plain]).dtypes)
+            part = lambda x: {s: F.col(f"{x.column}_{s}") for s in Aggregate(x.method).parts(F.lit(1))}
+            whole = [Aggregate(x.method).whole(part(x)).cast(direct[x.column]).alias(x.column) for x in plain]
+            got = asked.join(validity.told(table), [*serving, *held]).groupBy(*keys, *by).agg(*whole)
+            found.append(_dictionaries(got, keys, [x.column for x in plain]) if x0.category else got)
+        for x in leaves:
+            if x.vector:
+                flat = validity.blocks(rows.select(*serving, "__low", "__high", F.col(x.column).alias("__v")))
+
+                def merged(flat: DataFrame, method: str, name: str) -> DataFrame:
+                    table = vector.elementwise(flat, [*serving, *held], "__v", method, "__v")
+                    return vector.elementwise(asked.join(validity.told(table), [*serving, *held]), keys, "__v", method, name)
+
+                if x.method == "avg":
+                    some = flat.withColumn("__v", F.transform("__v", lambda e: e.isNotNull().cast("int")))
+                    one = merged(flat, "sum", "__sum").join(merged(some, "sum", "__some"), keys)
+                    found.append(one.select(*keys, F.zip_with("__sum", "__some", F.try_divide).alias(x.column)))
+                else:
+                    found.append(merged(flat, x.method, x.column))
+        got = reduce(lambda a, b: a.join(b, keys, "full"), found)
+        return got.withColumnRenamed("__t", mark).withColumn(mark, temporal.from_micros(F.col(mark)))
+
     def _running(self, asked: DataFrame, leaves: list[AsAtAggregation], mark: str) -> DataFrame:
         """Counts and sums of valid rows as running sums of what begins and ends: linear, where rows valid at each point would be listed.
 
